@@ -229,7 +229,7 @@ def shingles(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.nda
             if len(own) > 1:
                 own = own[np.concatenate(([True], own[1:] != own[:-1]))]
         elif count:
-            own = mix((hashes[at : at + count] * MULTIPLIERS[:count]).sum(dtype=_U, keepdims=True) + MULTIPLIERS[-1] * _U(count))
+            own = mix((hashes[at : at + count] * MULTIPLIERS[:count]).sum(dtype=_U, keepdims=True) + MULTIPLIERS[-1:] * _U(count))
         else:
             continue
         out.append(own)

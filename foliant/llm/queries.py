@@ -5,16 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm._common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.secrets import KINDS, joined, secret_scan
+
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long")
+    live = lambda yes: F.size(F.filter("all_spans", lambda x: x["live"] == F.lit(yes))).cast("long")
+    counts = [of_kind(i).alias(f"n_{name}") for i, (name, *_) in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"), live(True).alias("n_live"), live(False).alias("n_copied"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.decontaminate import containment_matches
+
+    found = containment_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
+
+
+OP2_SQL = r"""
+with d as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+     i as (select item_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from benchmark),
+     ds as (select distinct id, array_to_string(w[k:k + 4], ' ') as s from (select id, w, unnest(range(1, len(w) - 3)) as k from d where len(w) >= 5)),
+     its as (select distinct id, array_to_string(w[k:k + 4], ' ') as s from (select id, w, unnest(range(1, len(w) - 3)) as k from i where len(w) >= 5)),
+     n as (select id, count(*) as n_item from its group by id),
+     p as (select ds.id as doc_id, its.id as item_id, count(*) as n_shared from ds join its using (s) group by all)
+select doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) as containment
+from p join n on n.id = p.item_id where 100 * n_shared >= 80 * n_item
+"""
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.line_dedup import fuzzy_line_dedup
+
+    found = fuzzy_line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +84,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_quality_rules, op9_token_counts, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_url_filter, op5_near_duplicates, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_token_counts, op10_mixing)
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL}
