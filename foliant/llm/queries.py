@@ -45,6 +45,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.minhash_dedup import near_duplicates
 
@@ -85,7 +91,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_url_filter, op5_near_duplicates, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_token_counts, op10_mixing)
+    f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_url_filter, op4_suffix_dedup, op5_near_duplicates, op6_quality_rules, op7_toxicity, op8_line_dedup, op9_token_counts, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL}
