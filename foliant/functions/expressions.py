@@ -157,7 +157,7 @@ def _cond(spec: Any, c: Compiler) -> Value:
     chosen = F.when(truthy(condition), a).otherwise(b)
     if condition.absent:
         chosen = F.when(condition.col.isNotNull(), chosen)
-    return computed(chosen, dtype, absent=condition.absent or then.absent or other.absent)
+    return computed(chosen, dtype, absent=then.absent and other.absent)  # a NULL of mixed branches counts as null
 
 
 @operator("$switch")
