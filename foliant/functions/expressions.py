@@ -227,7 +227,6 @@ def _of_two_doubles(name: str, f: Callable[[Column, Column], Column]) -> None:
         return computed(f(both[0].double(), both[1].double()), "double")
 
 
-_NAN, _MINUS = F.lit(float("nan")), F.lit(float("-inf"))
 
 
 def _ln(x: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Filter documents as boolean Columns. The result is never NULL."""
+"""Filter documents as boolean Columns.
+
+Inside, NULL stands for false wherever only AND and OR are around it: so
+comparisons stay bare and reach the scan. Negations never see a NULL.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import types as T
 
 from foliant.errors import CompileError, UnsupportedOperator
 from foliant.functions.expressions import Scope, compile_expression
-from foliant.plans.values import MAX_DEPTH, Value, compare, constant, path, truthy
+from foliant.plans.values import MAX_DEPTH, Value, compare, constant, kind, of_kind, path, truthy
 
 
 
@@ -22,9 +26,15 @@ def _no() -> Column:
 
 def _equal(field: Value, wanted: Value) -> Column:
     """Equal, or an array with an equal element. A missing field equals nothing."""
+    if wanted.nothing and field.variant:
+        return F.coalesce(F.is_variant_null(field.col), _no())
     if wanted.nothing:
         return _no() if field.absent else field.col.isNull()
-    found = compare(field, wanted, "eq")
+    found = compare(field, wanted, "eq", loose=True)
+    if field.variant:
+        items = F.try_variant_get(field.col, "$", "array<variant>")
+        inside = F.exists(items, lambda e: compare(Value(e, T.VariantType()), wanted, "eq"))
+        return found | F.coalesce(F.when(kind(field.col) == "ARRAY", inside), _no())
     if field.array:
         inside = Value(F.col("_"), field.type.elementType)
         if not inside.array or wanted.array:
@@ -41,7 +51,7 @@ def _among(field: Value, values: Any) -> Column:
     if plain and len(plain) == len(wanted) == len(values) and len(kinds) == 1 and not field.array and (field.number, field.string, field.boolean, field.time) in kinds:
         literals = [w.literal for w in plain]
         col = field.double() if field.number and not all(w.whole for w in plain) else field.col  # one In: it is pushed to the scan
-        return F.coalesce(col.isin(literals), _no())
+        return col.isin(literals)
     found = [_equal(field, w) for w in wanted] + [regex(field, x, "") for x in values if isinstance(x, re.Pattern)]
     return reduce(lambda a, b: a | b, found, _no())
 
@@ -51,6 +61,8 @@ def regex(field: Value, pattern: Any, options: Any) -> Column:
     if isinstance(pattern, re.Pattern):
         options = (options or "") + ("i" if pattern.flags & re.IGNORECASE else "") + ("s" if pattern.flags & re.DOTALL else "")
         pattern = pattern.pattern
+    if field.variant:
+        field = Value(of_kind(field.col, "STRING"), T.StringType(), True)
     if not isinstance(pattern, str) or not isinstance(options or "", str) or not field.string:
         return _no()
     try:
@@ -58,7 +70,7 @@ def regex(field: Value, pattern: Any, options: Any) -> Column:
     except re.error:
         return _no()
     flags = "".join(f for f in "is" if f in (options or ""))
-    return F.coalesce(field.col.rlike((f"(?{flags})" if flags else "") + pattern), _no())
+    return field.col.rlike((f"(?{flags})" if flags else "") + pattern)
 
 
 def _exists(field: Value, flag: Any) -> Column:
@@ -67,18 +79,25 @@ def _exists(field: Value, flag: Any) -> Column:
     return _no()
 
 
+def _negated(field: Value, found: Column) -> Column:
+    """Not found, or the field is missing; in a form that the scan can take."""
+    if field.absent and not field.nothing and not field.array and not field.variant:
+        return field.col.isNull() | ~found
+    return ~F.coalesce(found, _no())
+
+
 def _operator(name: str, field: Value, operand: Any, spec: dict, strict: bool) -> Column:
     match name:
         case "$eq":
             return _equal(field, constant(operand))
         case "$ne":
-            return ~_equal(field, constant(operand))
+            return _negated(field, _equal(field, constant(operand)))
         case "$gt" | "$gte" | "$lt" | "$lte":
-            return compare(field, constant(operand), name[1:])
+            return compare(field, constant(operand), name[1:], loose=True)
         case "$in":
             return _among(field, operand)
         case "$nin":
-            return ~_among(field, operand)
+            return _negated(field, _among(field, operand))
         case "$exists":
             return _exists(field, operand)
         case "$regex":
@@ -91,7 +110,7 @@ def _operator(name: str, field: Value, operand: Any, spec: dict, strict: bool) -
 
 
 def compile_filter(spec: dict, scope: Scope, strict: bool = True, depth: int = 0) -> Column:
-    """The filter as a Column. strict=False: unknown operators match nothing instead of raising."""
+    """The filter as a Column; NULL means false. strict=False: unknown operators match nothing instead of raising."""
     if depth > MAX_DEPTH:
         raise CompileError(f"filters nest at most {MAX_DEPTH} deep")
     if not isinstance(spec, dict):

@@ -14,7 +14,7 @@ from foliant.functions.accumulators import ORDERED, accumulator
 from foliant.functions.expressions import compile_expression
 from foliant.operators.filters import compile_filter
 from foliant.plans.plan import RID, Plan, plan_of
-from foliant.plans.values import quoted
+from foliant.plans.values import Value, quoted, sort_key
 
 Stage = Callable[[Plan, Any, list], Plan]
 STAGES: dict[str, Stage] = {}
@@ -72,6 +72,8 @@ def sort_keys(plan: Plan, spec: Any) -> list[Column]:
             if isinstance(direction, (int, float)) and direction < 0:
                 keys[-1] = keys[-1].desc()
             continue
+        if v.variant:
+            v = Value(sort_key(v.col), T.StructType())
         down = isinstance(direction, (int, float)) and not isinstance(direction, bool) and direction < 0
         keys.append(v.col.desc_nulls_last() if down else v.col.asc_nulls_first())
     return keys
@@ -195,13 +197,14 @@ def group(plan: Plan, spec: Any, rest: list) -> Plan:
         plan = plan.numbered()
     key = compile_expression(spec["_id"], plan.scope)
     order = F.col(RID) if plan.rid else None
-    keyed = plan.df
     aggregates = [accumulator(a, plan.scope, order)[0].alias(k) for k, a in accumulators.items()]
     if after:
         aggregates.append(F.min(RID).alias(RID))
     if not aggregates:
         aggregates = [F.count(F.lit(1)).alias("__n")]
-    grouped = keyed.groupBy(key.col.alias("_id"), *map(quoted, plan.part)).agg(*aggregates)
+    grouped = plan.df.groupBy((F.to_json(key.col) if key.variant else key.col).alias("_id"), *map(quoted, plan.part)).agg(*aggregates)
+    if key.variant:  # VARIANT itself is no grouping key; a missing one is the group of null
+        grouped = grouped.withColumn("_id", F.parse_json("_id"))
     return plan.with_(df=grouped, fields=("_id", *accumulators), natural=False, rid=after)
 
 

@@ -131,7 +131,7 @@ def apply_spec(df: DataFrame, spec: dict, hit: Column) -> DataFrame:
 def marked(df: DataFrame, query: dict, many: bool, order: str | None = None) -> DataFrame:
     """df with HIT: the rows to change; of the first match only, if not many (order: a unique column)."""
     schema = T.StructType([f for f in df.schema.fields if f.name != order])
-    found = compile_filter(query, Scope(schema))
+    found = F.coalesce(compile_filter(query, Scope(schema)), F.lit(False))
     if many:
         return df.withColumn(HIT, found)
     if order is None:

@@ -59,6 +59,10 @@ class Value:
     def document(self) -> bool:
         return isinstance(self.type, (T.StructType, T.MapType))
 
+    @property
+    def variant(self) -> bool:
+        return isinstance(self.type, T.VariantType)
+
     @property
     def nothing(self) -> bool:
         """Null or missing on every row."""
@@ -151,12 +155,66 @@ def same_type(values: list[Value]) -> tuple[list[Column], T.DataType]:
     return [to_type(v, dtype) for v in values], dtype
 
 
+# ------------------------------------------------------------------ values of any type (VARIANT)
+
+#: The order of types.
+RANKS = {"VOID": 2, "number": 3, "STRING": 4, "OBJECT": 5, "ARRAY": 6, "BINARY": 7, "BOOLEAN": 9, "TIMESTAMP": 10, "DATE": 10}
+
+
+def kind(col: Column) -> Column:
+    """VOID, number, STRING, OBJECT, ARRAY, BOOLEAN, ... of a VARIANT; NULL if missing."""
+    name = F.regexp_extract(F.schema_of_variant(col), "^[A-Z]+", 0)
+    return F.when(name.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "TINYINT", "SMALLINT", "INT"), F.lit("number")).otherwise(name)
+
+
+def of_kind(col: Column, name: str) -> Column:
+    """The VARIANT as a double, string, boolean or timestamp if it is one, else NULL."""
+    target = {"number": "double", "STRING": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}[name]
+    return F.when(kind(col) == name, F.try_variant_get(col, "$", target))
+
+
+def sort_key(col: Column) -> Column:
+    """A struct that orders VARIANTs by type, then value; missing and null are equal and first. Documents tie, arrays tie."""
+    rank = F.coalesce(*[F.when(kind(col) == k, F.lit(v)) for k, v in RANKS.items()], F.when(col.isNull(), F.lit(2)), F.lit(100))
+    return F.struct(rank.alias("rank"), of_kind(col, "number").alias("n"), of_kind(col, "STRING").alias("s"), of_kind(col, "BOOLEAN").alias("b"), of_kind(col, "TIMESTAMP").alias("t"))
+
+
+def to_variant(v: Value) -> Column:
+    if v.variant:
+        return v.col
+    if v.nothing:
+        return F.parse_json(F.lit("null"))
+    return F.to_variant_object(v.col) if v.array or v.document else v.col.cast("variant")
+
+
+def _variant_pair(a: Value, b: Value) -> tuple[Column, Column] | None:
+    if a.variant and b.variant:
+        return F.to_json(a.col), F.to_json(b.col)
+    v, other = (a, b) if a.variant else (b, a)
+    if other.number:
+        cols = of_kind(v.col, "number"), other.double()
+    elif other.string:
+        cols = of_kind(v.col, "STRING"), other.col
+    elif other.boolean:
+        cols = of_kind(v.col, "BOOLEAN"), other.col
+    elif other.time:
+        cols = of_kind(v.col, "TIMESTAMP"), other.col.cast("timestamp")
+    elif other.array or other.document:
+        cols = F.to_json(v.col), F.to_json(F.to_variant_object(other.col))
+    else:
+        return None
+    return cols if a.variant else cols[::-1]
+
+
 def array_of(values: list[Value]) -> Value:
     """An array; missing elements are dropped, nulls stay."""
     values = [v for v in values if not (v.nothing and v.absent)]
     if not values:
         return Value(F.array().cast(T.ArrayType(T.NullType())), T.ArrayType(T.NullType(), True))
-    cols, dtype = same_type(values)
+    try:
+        cols, dtype = same_type(values)
+    except CompileError:
+        cols, dtype = [to_variant(v) for v in values], T.VariantType()
     if any(v.absent for v in values):
         parts = [F.when(v.missing(), F.array().cast(T.ArrayType(dtype))).otherwise(F.array(c).cast(T.ArrayType(dtype))) if v.absent else F.array(c).cast(T.ArrayType(dtype)) for v, c in zip(values, cols, strict=True)]
         return Value(F.concat(*parts), T.ArrayType(dtype, True))
@@ -181,6 +239,10 @@ def step(v: Value, name: str) -> Value:
         return Value(v.col.getField(name), v.type[name].dataType, absent=True)
     if isinstance(v.type, T.MapType) and isinstance(v.type.keyType, T.StringType):
         return Value(F.try_element_at(v.col, F.lit(name)), v.type.valueType, absent=True)
+    if v.variant:
+        if name.isdigit():
+            return Value(F.try_variant_get(v.col, f"$[{name}]", "variant"), v.type, absent=True)
+        return Value(F.try_variant_get(v.col, "$['" + name.replace("'", "\\'") + "']", "variant"), v.type, absent=True)
     if v.array and name.isdigit():
         return Value(F.get(v.col, F.lit(int(name))), v.type.elementType, absent=True)
     return missing()
@@ -207,13 +269,25 @@ def truthy(v: Value) -> Column:
         return F.coalesce(v.col, F.lit(False))
     if v.number:
         return F.coalesce(v.col != 0, F.lit(False))
+    if v.variant:
+        return v.col.isNotNull() & ~F.coalesce(F.is_variant_null(v.col), F.lit(False)) & ~F.coalesce(of_kind(v.col, "number") == 0, F.lit(False)) & F.coalesce(of_kind(v.col, "BOOLEAN"), F.lit(True))
     return v.col.isNotNull()
 
 
 def pair(a: Value, b: Value, ordered: bool) -> tuple[Column, Column] | None:
     """Both columns as one type if values of the two can be equal (ordered: can be compared), else None."""
+    if a.variant or b.variant:
+        return _variant_pair(a, b) if not (ordered and a.variant and b.variant) else None
     if a.number and b.number:
+        if a.type == b.type:
+            return a.col, b.col
         if a.whole and b.whole:
+            # a constant is given the column's type if it fits: a cast column is not pushed to the scan
+            if b.constant or a.constant:
+                column, other = (a, b) if b.constant else (b, a)
+                if isinstance(column.type, T.LongType) or isinstance(other.type, T.IntegerType) and isinstance(column.type, T.IntegerType):
+                    literal = F.lit(other.literal).cast(column.type)
+                    return (column.col, literal) if b.constant else (literal, column.col)
             return a.long(), b.long()
         return a.double(), b.double()
     for kind in ("string", "boolean"):
@@ -242,23 +316,33 @@ def pair(a: Value, b: Value, ordered: bool) -> tuple[Column, Column] | None:
     return None
 
 
-def compare(a: Value, b: Value, op: str) -> Column:
-    """Two-valued comparison: false for incomparable and missing values; nulls are equal to each other."""
+def compare(a: Value, b: Value, op: str, loose: bool = False) -> Column:
+    """Two-valued comparison: false for incomparable and missing values; nulls are equal to each other.
+
+    loose: NULL may stand for false, which lets the scan take the comparison.
+    """
     there = ~(a.missing() | b.missing()) if a.absent or b.absent else F.lit(True)
     if op in ("eq", "ne"):
         if a.nothing and b.nothing:
             same = F.lit(True)
         elif a.nothing or b.nothing:
-            same = (b if a.nothing else a).col.isNull()
+            other = b if a.nothing else a
+            same = other.col.isNull() | F.coalesce(F.is_variant_null(other.col), F.lit(False)) if other.variant else other.col.isNull()
         elif (cols := pair(a, b, False)) is None:
             same = a.col.isNull() & b.col.isNull()
         elif (a.absent or a.constant) and (b.absent or b.constant):
+            if loose and op == "eq":
+                return cols[0] == cols[1]
             equal = F.coalesce(cols[0] == cols[1], F.lit(False))  # a NULL is missing or cannot be
             return equal if op == "eq" else there & ~equal
         else:
             same = cols[0].eqNullSafe(cols[1])
         return there & (same if op == "eq" else ~same)
+    if a.variant and b.variant:
+        x, y = sort_key(a.col), sort_key(b.col)
+        found = {"gt": x > y, "gte": x >= y, "lt": x < y, "lte": x <= y}[op]
+        return there & (x["rank"] == y["rank"]) & found
     if (cols := pair(a, b, True)) is None:
         return F.lit(False)
     found = {"gt": cols[0] > cols[1], "gte": cols[0] >= cols[1], "lt": cols[0] < cols[1], "lte": cols[0] <= cols[1]}[op]
-    return F.coalesce(found, F.lit(False))
+    return found if loose else F.coalesce(found, F.lit(False))
