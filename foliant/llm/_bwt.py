@@ -1,13 +1,13 @@
 """Burrows-Wheeler transforms of shards of short strings, merged by interleave refinement.
 
-A shard holds strings that end at a boundary. Its transform is the order of
-its suffixes by their first DEPTH symbols, with for each suffix the symbols
-that precede it. Shards are merged without sorting their suffixes anew: the
-interleave starts as one block for each 8-symbol head; a stable pass over the
-interleave by the h symbols that precede each suffix (a super-letter of the
-transform at stride h, named by its own block) gives the interleave by 2h
-symbols. Blocks that remain after the last pass are the intervals of suffixes
-with a common prefix of DEPTH symbols, that is, repeated strings.
+A shard's transform is its suffixes in the order of their first HEAD symbols
+(the transform of limited context order), with the symbols before each suffix
+at hand in the text. Shards are merged without sorting their suffixes anew:
+their runs are interleaved by the heads, and a stable pass over the interleave
+by the h symbols that precede each suffix (a super-letter of the transform at
+stride h, named by its own block) gives the interleave by 2h symbols. Blocks
+that remain after the last pass are the intervals of suffixes whose longest
+common prefix is depth at least, that is, repeated strings.
 """
 
 from __future__ import annotations
@@ -18,94 +18,93 @@ import numpy as np
 
 HEAD = 8
 _U = np.uint64
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 @dataclass
 class Transform:
-    """text: bytes; room: symbols from each position to the end of its string; order: suffixes by their first depth symbols; head: the 8-symbol head of each position."""
+    """text: bytes; order: its suffixes by their heads; head: the heads in this order."""
 
     text: np.ndarray
-    room: np.ndarray
     order: np.ndarray
     head: np.ndarray
 
 
-def _dense(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Block numbers by position, from keys that rise along order."""
-    block = np.zeros(len(order), dtype=np.int64)
-    block[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-    return block
-
-
-def refine(block: np.ndarray, order: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """From the interleave by the first h >= step symbols, in blocks, to that by h + step symbols.
-
-    The suffix at i + step, in its place of the interleave, puts the suffix at
-    i next in the block of i: a stable pass by the preceding super-letter.
-    """
-    n = len(order)
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    follow = np.full(n, -1, dtype=np.int64)  # the end of the text comes first
-    follow[: n - step] = place[step:]
-    follow_block = np.full(n, -1, dtype=np.int64)
-    follow_block[: n - step] = block[step:]
-    key = np.sort(block.astype(_U) << _U(32) | (follow + 1).astype(_U))
-    # every (block, place) is unique but for suffixes at the text's end, whose blocks hold the boundary and are unique
-    new_order = np.empty(n, dtype=np.int64)
-    first = (key & _U(0xFFFFFFFF)).astype(np.int64) - 1
-    inside = first >= 0
-    new_order[inside] = order[first[inside]] - step
-    new_order[~inside] = np.arange(n - step, n)[np.argsort(block[n - step :], kind="stable")] if (~inside).any() else 0
-    pair = block[new_order] << 32 | (follow_block[new_order] + 1)
-    return _dense(pair, new_order), new_order
-
-
-def heads(text: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """The first 8 symbols of each suffix as a number; suffixes that end before get one of their own."""
+def heads(text: np.ndarray) -> np.ndarray:
+    """The first 8 symbols of each suffix as a number, zeros after the text's end."""
     n = len(text)
-    wide = np.zeros(n + HEAD, dtype=_U)
+    wide = np.zeros(n + HEAD - 1, dtype=_U)
     wide[:n] = text
-    out = np.zeros(n, dtype=_U)
-    for k in range(HEAD):
-        out = out << _U(8) | wide[k : n + k]
+    out, have = wide, 1
+    while have < HEAD:
+        out = (out[: len(out) - have] << _U(8 * have)) | out[have:]
+        have *= 2
     return out
 
 
-def intervals(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks (by position) and order of all suffixes, by their first depth symbols.
-
-    Prefixes may run over the end of a string; whoever reads the blocks looks
-    at positions with room of at least depth only, so those never matter.
-    """
-    head = heads(text, room)
+def transform(text: np.ndarray) -> Transform:
+    head = heads(text)
     order = np.argsort(head, kind="stable")
-    block = _dense(head[order], order)
-    h = HEAD
-    while h < depth:
-        step = min(h, depth - h)
-        block, order = refine(block, order, step)
-        h += step
-    return block, order
+    return Transform(text, order.astype(np.uint32), head[order])
+
+
+def _numbered(changes: np.ndarray) -> np.ndarray:
+    """Block numbers along the interleave, from where blocks begin."""
+    return np.cumsum(changes, dtype=np.uint32) - np.uint32(1)
 
 
-def transform(text: np.ndarray, room: np.ndarray, depth: int) -> Transform:
-    _, order = intervals(text, room, depth)
-    return Transform(text, room, order, heads(text, room))
+def refine(block: np.ndarray, along: np.ndarray, order: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the interleave by the first h >= step symbols to that by h + step symbols.
+
+    block: number of each position's block; along: the same along the
+    interleave; order: positions along it. The suffix at i + step, in its
+    place, puts the suffix at i next in the block of i: one stable pass by the
+    preceding super-letter, here a sort of (block, place) pairs, all different.
+    """
+    n = len(order)
+    place = np.empty(n, dtype=np.uint32)
+    place[order] = np.arange(n, dtype=np.uint32)
+    key = block.astype(_U) << _U(32)
+    key[: n - step] |= place[step:] + _U(1)
+    # the last step suffixes have nothing that follows: they come first in their blocks, apart from each other
+    tail = np.argsort(key[n - step :], kind="stable") + (n - step)
+    key.sort()
+    follow = (key & _LOW).astype(np.int64) - 1
+    inside = follow >= 0
+    new_order = np.empty(n, dtype=np.uint32)
+    new_order[inside] = order[follow[inside]] - np.uint32(step)
+    new_order[~inside] = tail
+    second = np.where(inside, along[follow].astype(np.int64), -1)
+    first = key >> _U(32)
+    changes = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    new_along = _numbered(changes)
+    new_block = np.empty(n, dtype=np.uint32)
+    new_block[new_order] = new_along
+    return new_block, new_along, new_order
 
 
 def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks (by position of the joined texts) of depth symbols and the joined order."""
-    text = np.concatenate([s.text for s in shards])
-    room = np.concatenate([s.room for s in shards])
+    """Blocks of depth >= 8 symbols, by position of the joined texts, and the joined order.
+
+    Prefixes may run over the end of a string within a text: whoever reads the
+    blocks looks only at positions with depth symbols before the string's end.
+    """
     start = np.cumsum([0, *(len(s.text) for s in shards)])[:-1]
-    runs = np.concatenate([s.order + a for s, a in zip(shards, start, strict=True)])  # one rising run a shard
-    head = heads(text, room)
-    order = runs[np.argsort(head[runs], kind="stable")]  # merges the runs
-    block = _dense(head[order], order)
+    text = np.concatenate([s.text for s in shards])
+    # heads near a shard's end go on in the next text: these few are made again
+    head = np.concatenate([s.head for s in shards])
+    order = np.concatenate([s.order + np.uint32(a) for s, a in zip(shards, start, strict=True)])
+    if len(shards) > 1:
+        whole = heads(text)
+        head = whole[order]
+        interleave = np.argsort(head, kind="stable")
+        order, head = order[interleave], head[interleave]
+    along = _numbered(np.concatenate(([True], head[1:] != head[:-1])))
+    block = np.empty(len(text), dtype=np.uint32)
+    block[order] = along
     h = HEAD
     while h < depth:
         step = min(h, depth - h)
-        block, order = refine(block, order, step)
+        block, along, order = refine(block, along, order, step)
         h += step
     return block, order

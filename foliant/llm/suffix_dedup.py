@@ -4,7 +4,7 @@
    least hash is an anchor (the last of equals). Equal windows have equal
    anchors at equal offsets, so both ends of a repeat share an anchor's gram.
    Grams seen once drop out.
-2. Contexts. All windows of an anchor lie in the bytes around it. Anchors of
+2. Contexts. The windows that have an anchor lie in the bytes around it. Anchors of
    equal gram and equal context (128 bits of hashes) repeat whole: done. Of
    the grams with several contexts, each distinct context goes on once, with
    its number of occurrences.
@@ -41,14 +41,14 @@ from foliant.llm._common import MULTIPLIERS, Stage, mix, powers, prefix_sums, si
 GRAM = 32
 PIECE_BYTES = 1 << 20
 SEGMENT = 1 << 23
-SHARD_BYTES, BATCH_BYTES, MOST = 1 << 18, 1 << 20, 2048
+SHARD_BYTES, BATCH_BYTES, MOST = 1 << 17, 1 << 18, 8192
 _U = np.uint64
 _LOW = (1 << 24) - 1  # of a position within a segment
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted positions of all anchors of texts, and their gram hashes."""
-    found, hashes = [], []
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted positions of all anchors of texts, their gram hashes, and the first and last start of the windows that have it as anchor."""
+    found: list[tuple[np.ndarray, ...]] = []
     n = len(data)
     for at in range(0, n, SEGMENT):
         part = data[at : at + SEGMENT + least - 1]
@@ -57,31 +57,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
         m = len(part) - GRAM + 1
         prefix = prefix_sums(part)
         gram = mix((prefix[GRAM:] - prefix[:m]) * powers(len(part), True)[:m])
-        low = gram & ~_U(_LOW) | (_U(_LOW) - np.arange(m, dtype=_U))
+        best = gram & ~_U(_LOW) | (_U(_LOW) - np.arange(m, dtype=_U))
         width, span = 1, least - GRAM + 1
-        best = low
         while width * 2 <= span:
             best = np.minimum(best[: len(best) - width], best[width:])
             width *= 2
         windows = len(part) - least + 1
         best = np.minimum(best[:windows], best[span - width : span - width + windows])
         inside = np.zeros(windows, dtype=np.int32)  # windows within one text
-        starts = offsets[:-1] - at
-        ends = offsets[1:] - at - least + 1
+        starts, ends = offsets[:-1] - at, offsets[1:] - at - least + 1
         good = (ends > starts) & (ends > 0) & (starts < windows)
         np.add.at(inside, np.maximum(starts[good], 0), 1)
         stop = ends[good]
         np.add.at(inside, stop[stop < windows], -1)
-        best = best[np.cumsum(inside) > 0]
-        flag = np.zeros(m, dtype=bool)
-        flag[(_U(_LOW) - (best & _U(_LOW))).astype(np.int64)] = True
-        where = np.flatnonzero(flag)
-        found.append(where + at)
-        hashes.append(gram[where])
+        start = np.flatnonzero(np.cumsum(inside) > 0)
+        if not len(start):
+            continue
+        anchor = (_U(_LOW) - (best[start] & _U(_LOW))).astype(np.int64)  # rises with the windows
+        new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        last = np.append(new[1:], len(anchor)) - 1
+        found.append((anchor[new] + at, gram[anchor[new]], start[new] + at, start[last] + at))
     if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
-    position, first = np.unique(np.concatenate(found), return_index=True)
-    return position, np.concatenate(hashes)[first]
+        none = np.zeros(0, dtype=np.int64)
+        return none, np.zeros(0, dtype=_U), none, none
+    position, gram, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.flatnonzero(np.concatenate(([True], position[1:] != position[:-1])))  # one may have windows in two segments
+    return position[new], gram[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
 
 
 def _context_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -97,10 +98,9 @@ def _anchor_rows(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFra
         for batch in batches:
             for piece in slices(batch, "_text", PIECE_BYTES):
                 data, offsets = string_buffer(piece.column(2))
-                at, gram = anchors(data, offsets, least)
+                at, gram, first, last = anchors(data, offsets, least)
                 row = np.searchsorted(offsets, at, side="right") - 1
-                left = np.minimum(at - offsets[row], least - GRAM)
-                right = np.minimum(offsets[row + 1] - at, least)
+                left, right = at - first, last + least - at
                 prefix = prefix_sums(data)
                 c = _context_hash(prefix, at - left, at + right, left)
                 take = pa.array(row)
@@ -187,17 +187,17 @@ def repeated_windows(bodies: list[bytes], keys: np.ndarray, lows: np.ndarray, co
             cuts.append(int(e))
     if cuts[-1] != len(text):
         cuts.append(len(text))
-    if len(cuts) == 2:
-        block, _ = _bwt.intervals(text, room, least)
-    else:
-        block, _ = _bwt.merge([_bwt.transform(text[a:b], room[a:b], least) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], least)
+    block, _ = _bwt.merge([_bwt.transform(text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], least)
     full = np.flatnonzero(room >= least)
     who = owner[full]
     _, key_no = np.unique(keys, return_inverse=True)
     offset = lows[who] + (full - starts[who])
-    group = block[full] * 512 + (offset + 256)  # offsets lie in -256 .. 255
-    order = np.lexsort((group, key_no[who]))
-    g, k = group[order], key_no[who][order]
+    group = block[full].astype(np.int64) * 512 + (offset + 256)  # offsets lie in -256 .. 255
+    if len(full) == 0:
+        return [(np.zeros(0, dtype=np.int64),) * 2 for _ in bodies]
+    own = key_no[who]
+    order = np.lexsort((own, group))
+    g, k = group[order], own[order]
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
     of = np.cumsum(new) - 1
     total = np.bincount(of, counts[who][order])
@@ -253,7 +253,10 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, least: int) -> DataF
     id_type = docs.schema[doc_id].dataType.simpleString()
     found = stage.put(_anchor_rows(docs, doc_id, text, least))
     grams = found.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("total > 1")
-    again = stage.put(found.join(grams.select("key", (F.col("lo") != F.col("hi")).alias("several")), "key"))
+    # written first: a join with the aggregate itself would keep its partitioning, and a frequent gram in one task
+    grams = stage.put(grams.select("key", (F.col("lo") != F.col("hi")).alias("several")))
+    again = stage.put(found.join(grams, "key"))
+    stage.drop(found, grams)
     whole = again.where("not several")
     several = again.where("several").drop("several")
     contexts = stage.put(several.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "at", "l", "r")).alias("one")))
