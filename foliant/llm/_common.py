@@ -56,6 +56,9 @@ def _clean() -> None:
             pass
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Written tables of one operator call: they cut lineage and survive lost executors.
 
@@ -72,7 +75,13 @@ class Stage:
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        # what is written needs its shuffles no longer: they go now, not when the driver collects garbage
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.where[id(out)] = path
         out._stage = self  # keeps id(out) valid as long as the frame lives

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.llm._common import Stage
@@ -12,7 +12,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours. edges: a > b."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-    return both.join(least, both["a"] == least["node"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+    return both.join(least, both["a"] == least["node"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,16 @@ def connected(stage: Stage, links: DataFrame) -> DataFrame:
     Each round is written to the shared folder; it ends when the edges, which
     are stars then, no longer change (same count and sum of hashes).
     """
-    edges = stage.put(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    last = mark(edges)
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df written, with the count and the hash sum that the writing itself has seen."""
+        seen = Observation()
+        out = stage.put(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+        return out, (seen.get["n"], seen.get["sum"])
+
+    edges, last = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while last[0]:
-        new = stage.put(small_star(large_star(edges)))
-        now = mark(new)
+        new, now = written(small_star(large_star(edges)))
         stage.drop(edges)
         edges = new
         if now == last:

@@ -3,8 +3,8 @@
 Candidates are never all pairs of a bucket. A bucket first gives the links of
 its members to its least and its greatest member; these are verified and the
 components found. Only buckets that still hold several components are looked
-at again: there, and only across components, members are compared by their
-signatures in blocks of bounded size, and the survivors verified. A bucket of
+at again: there, and only across components, members are compared in blocks of
+bounded size, by their signatures and then on full sets. A bucket of
 more than ``MOST`` members is first split by the members' other bands (similar
 members share some of them, as they do on the whole).
 """
@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import Stage, _odd, jaccard_parts, mix
+from foliant.llm._common import Stage, _odd, jaccard_parts, mix, slices
 from foliant.llm._components import connected
 
 _U = np.uint64
@@ -41,24 +41,27 @@ def minima(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 def binned_minima(values: np.ndarray, owner: np.ndarray, n_sets: int, n: int) -> np.ndarray:
     """One-permutation MinHash (uint32): the least hash in each of n bins; empty bins copy a bin found by universal hashing."""
     empty = np.uint64(2**64 - 1)
-    h = values * _A[300] + _B[300]
-    h ^= h >> _U(29)
-    bins = ((h >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+    h = values * _A[300]
+    h ^= h >> _U(32)
+    h *= _A[301]
+    cell = (h >> _U(32)) * _U(n)
+    cell >>= _U(32)
+    cell += owner.astype(_U) * _U(n)
     out = np.full(n_sets * n, empty, dtype=_U)
-    np.minimum.at(out, owner * n + bins, (h * _A[301]) >> _U(1))
+    np.minimum.at(out, cell.view(np.int64), h)
     out = out.reshape(n_sets, n)
-    row, col = np.nonzero(out == empty)
     full = out != empty
+    row, col = np.nonzero(~full)
     attempt = 0
     while len(row):
-        attempt += 1
-        to = (mix(col.astype(_U) * _A[302] + _U(attempt * 2654435761)) >> _U(32)).astype(np.int64) % n
+        attempt += 1  # which bin an empty one copies depends on the bin and the attempt alone
+        to = ((mix(np.arange(n, dtype=_U) * _A[302] + _U(attempt * 2654435761)) >> _U(32)).astype(np.int64) % n)[col]
         good = full[row, to]
         out[row[good], col[good]] = out[row[good], to[good]]
         row, col = row[~good], col[~good]
         if attempt > 64 * n:
             break
-    return (out >> _U(20)).astype(np.uint32)
+    return (out * _A[303] >> _U(32)).astype(np.uint32)
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -69,15 +72,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(1, bands + 1, dtype=_U)[None, :] * _B[400])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], percent: int, estimate: Callable | None = None) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union. texts: id, text."""
     first, second = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for batch in slices(whole, "text_a", 1 << 18):
                 good = np.zeros(batch.num_rows, dtype=bool)
                 for i, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)):
                     if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and len(x):
@@ -89,89 +91,204 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], list[n
     return rows.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, least_share: float) -> DataFrame:
-    """a, b: pairs of members of one block and different components whose signatures agree in least_share at least.
+def agreeing(pairs: DataFrame, signatures: DataFrame, least_share: float) -> DataFrame:
+    """Signature verification: the pairs (a, b) that agree in least_share of the minima at least. signatures: id, signature."""
+    first, second = signatures.select(F.col("id").alias("a"), F.col("signature").alias("x")), signatures.select(F.col("id").alias("b"), F.col("signature").alias("y"))
 
-    members: block (three longs), id, component, side, signature (binary, a byte a minimum).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                keep = pa.array((x == y).mean(axis=1) >= least_share)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def key_parts(n_keys: int) -> int:
+    """Ranges of keys, about a million in each."""
+    return min(1 << 22, max(64, n_keys // 1_000_000))
+
+
+def key_code(key: Column, parts: int) -> Column:
+    """The range of a key and its low 40 bits, as repeated_keys names keys."""
+    part = F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(parts), 32)
+    return F.shiftleft(part, 40).bitwiseOR(key.bitwiseAND(F.lit((1 << 40) - 1)))
+
+
+def repeated_keys(items: DataFrame, parts: int) -> DataFrame:
+    """code: the codes of band keys of at least two ids. items: id, bands.
+
+    Most keys are single, so they travel packed in 8 bytes: a task sorts its
+    batch, drops what repeats in it, and sends a few blobs by ranges of the
+    key. A frequent key comes once or twice a batch. A code that two keys
+    share lets both through, no more; the id's 24 bits tell equal ids apart.
     """
+    high = _U(0xFFFFFF0000000000)  # 40 bits of the key within its range, 24 of the id above them
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = np.asarray(lists.flatten()).view(_U)
+            part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+            ids = np.repeat(mix(np.asarray(batch.column(0)).view(_U)), np.asarray(lists.value_lengths()))
+            short = keys & ~high
+            order = np.lexsort((short, part))
+            part, short, ids = part[order], short[order], ids[order] & high
+            new = np.concatenate(([True], (short[1:] != short[:-1]) | (part[1:] != part[:-1]))) if len(keys) else np.zeros(0, dtype=bool)
+            if not new.all():  # of a key that repeats: its first id and one that differs from it
+                first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+                group, take = np.cumsum(new), np.flatnonzero(ids != ids[first])
+                kept = np.sort(np.concatenate((np.flatnonzero(new), take[np.unique(group[take], return_index=True)[1]])))
+                part, short, ids = part[kept], short[kept], ids[kept]
+            packed = ids | short
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array([packed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], type=pa.binary())], ["part", "blob"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+            packed = np.frombuffer(b"".join(blobs), dtype=_U)
+            packed = packed[np.argsort(packed & ~high, kind="stable")]
+            keys, ids = packed & ~high, packed & high
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
+            return pa.RecordBatch.from_arrays([pa.array((keys[starts[several]] | _U(part) << _U(40)).view(np.int64))], ["code"])
+
+        held, last = [], -1
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != last and held:
+                    yield found(last, held)
+                    held = []
+                held.append(blob)
+                last = part
+        if held:
+            yield found(last, held)
+
+    blobs = items.select("id", "bands").mapInArrow(pack, "part int, blob binary")
+    return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(count, "code long")
+
+
+def across(members: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], percent: int, least_share: float) -> DataFrame:
+    """a, b: links between members of one block and different components, confirmed on full sets.
+
+    members: key, i, j (the block), band (the key's own, -1 if it is a pair of bands), id,
+    component, side, bands, signature (binary, a byte a minimum), text. A pair
+    is looked at in the first band that it shares, if its signatures agree in
+    least_share of the minima; components that a link joins need no other, so
+    a block gives fewer links than it has members.
+    """
+    names = ("key", "i", "j", "band", "id", "component", "side", "bands", "signature", "text")
     ordered = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks()
-        key = np.stack([np.asarray(t.column(c)) for c in ("key", "i", "j")])
-        cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
-        ids, comps, side = (np.asarray(t.column(c)) for c in ("id", "component", "side"))
+        keys = np.stack([np.asarray(t.column(c)) for c in names[:3]])
+        cut = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
+        ids, every, side = (np.asarray(t.column(c)) for c in ("id", "component", "side"))
         signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+        lists = pa.concat_arrays(t.column("bands").chunks) if t.num_rows else pa.array([], type=pa.list_(pa.int64()))
+        bands = np.asarray(lists.flatten()).reshape(t.num_rows, -1)
+        band = np.asarray(t.column("band"))
+        text = pa.concat_arrays(t.column("text").chunks)
         found = []
         for at, to in zip(cut[:-1], cut[1:], strict=True):
-            left = np.arange(at, to)[side[at:to] == 0]
-            right = left if key[1, at] == key[2, at] else np.arange(at, to)[side[at:to] == 1]
+            comps = every[at:to].copy()
+            same_block = keys[1, at] == keys[2, at]
+            if to - at < 2 or (comps == comps[0]).all():
+                continue
+            own = None
+            left = np.flatnonzero(side[at:to] == 0)
+            right = left if same_block else np.flatnonzero(side[at:to] == 1)
             for x in left:
-                other = right[(comps[right] != comps[x]) & (ids[right] != ids[x])]
-                if right is left:
-                    other = other[other > x]
-                if len(other):
-                    same = (signature[other] == signature[x]).mean(axis=1)
-                    close = other[same >= least_share]
-                    found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in close]
+                other = right[right > x] if same_block else right
+                other = other[comps[other] != comps[x]]
+                if not len(other):
+                    continue
+                share = (signature[at + other] == signature[at + x]).mean(axis=1)
+                other = other[share >= least_share]
+                if band[at] >= 0:
+                    other = other[(bands[at + other] == bands[at + x]).argmax(axis=1) == band[at]]
+                for y in other:
+                    if comps[y] == comps[x]:
+                        continue
+                    if own is None:
+                        own = sets(text.slice(at, to - at))
+                    shared, union = jaccard_parts(own[x], own[y])
+                    if 100 * shared >= percent * union:
+                        found.append((ids[at + x], ids[at + y]))
+                        comps[comps == comps[y]] = comps[x]
         both = np.array(found, dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of at most one block (2 * BLOCK rows) and a batch
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("key", "i", "j")])
-            last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if held and (cut or (key[:, 0] != [np.asarray(held[-1].column(held[-1].schema.get_field_index(c)))[-1] for c in ("key", "i", "j")]).any()):
-                yield from pairs([*held, batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-            elif cut:
-                yield from pairs([batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
+        held: list[pa.RecordBatch] = []  # the rows of one block (2 * BLOCK at most) and of a slice
+        last = None
+        for whole in batches:
+            for batch in (whole.slice(k, BLOCK) for k in range(0, whole.num_rows, BLOCK)):
+                key = np.stack([np.asarray(batch.column(k)) for k in range(3)])
+                change = np.flatnonzero(np.concatenate(([last is None or bool((key[:, 0] != last).any())], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+                if len(change):
+                    if change[-1]:
+                        held.append(batch.slice(0, int(change[-1])))
+                    if held:
+                        yield from links(held)
+                    held = []
+                held.append(batch.slice(int(change[-1]) if len(change) else 0))
+                last = key[:, -1]
         if held:
-            yield from pairs(held)
+            yield from links(held)
 
-    return ordered.select("key", "i", "j", "id", "component", "side", "signature").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select(*names).mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int, least_share: float) -> DataFrame:
+def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int, least_share: float, n_bands: int) -> DataFrame:
     """node, component of every item that is linked with another.
 
     items: id (long, one row an id or equal rows), bands (array<long>),
     signature (binary). texts: gets a DataFrame of ids and gives id, text of
     those. sets: the sorted distinct shingles of each text.
     """
-    keyed = items.select("id", F.explode("bands").alias("key"))
-    buckets = stage.put(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"))
-    larger = buckets.where("n > 2")
-    members = stage.put(keyed.join(larger.select("key", "lo", "hi"), "key").distinct())
-    star = buckets.select("lo", "hi").union(members.select(F.col("lo"), F.col("id"))).union(members.select(F.col("id"), F.col("hi")))
-    pairs = stage.put(star.where("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct())
-
-    def checked(chosen: DataFrame) -> DataFrame:
-        ids = chosen.select(F.col("a").alias("id")).union(chosen.select("b")).distinct()
-        return stage.put(verify(chosen, texts(ids), sets, percent))
-
-    links = checked(pairs)
+    def few(df: DataFrame) -> bool:
+        """Whether df may be broadcast: BROADCAST_IDS rows of a number at most."""
+        return df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+    def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+        return df.join(F.broadcast(ids) if few(ids) else ids, column, "left_semi")
+
+    parts = key_parts(items.count() * n_bands)
+    shared = stage.put(repeated_keys(items, parts))
+    keyed = only(items.select("id", F.explode("bands").alias("key")).withColumn("code", key_code(F.col("key"), parts)), shared, "code").select("id", "key")
+    members = stage.put(keyed.distinct())
+    # written first: a join with the aggregate itself would keep its partitioning, and a large bucket in one task
+    buckets = stage.put(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
+    stars = members.join(buckets, "key")
+    star = stars.select("lo", F.col("id").alias("hi")).union(stars.select(F.col("id"), F.col("hi")))
+    pairs = star.where("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
+    pairs = stage.put(pairs)
+    ids = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    pairs = stage.put(agreeing(pairs, only(items.select("id", "signature"), ids, "id").dropDuplicates(["id"]), least_share))
+
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    links = stage.put(verify(pairs, texts(ends), sets, percent))
+    stage.drop(shared, ids)
     found = connected(stage, links)
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y and n > 3")
+    # of three members the stars are all pairs
     rest = stage.put(placed.select("key", "id", "component").join(open_keys.select("key", "n"), "key"))
     if rest.limit(1).count() == 0:
         return found
-    signed = rest.join(items.select("id", "signature", "bands").dropDuplicates(["id"]), "id")
-    fine = signed.where(F.col("n") > MOST).withColumn("other", F.explode("bands")).where("other <> key").select(F.xxhash64("key", "other").alias("key"), "id", "component", "signature")
+    chosen = stage.put(rest.select("id").distinct())
+    signed = rest.join(only(items.select("id", "signature", "bands"), chosen, "id").dropDuplicates(["id"]), "id").withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
+    fine = signed.where(F.col("n") > MOST).withColumn("other", F.explode("bands")).where("other <> key")
+    fine = fine.select(F.xxhash64("key", "other").alias("key"), F.lit(-1).alias("band"), "id", "component", "signature", "bands")
     sizes = fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    blocks = signed.where(F.col("n") <= MOST).select("key", "id", "component", "signature", "n").unionByName(fine.join(sizes.select("key", "n"), "key"))
+    blocks = signed.where(F.col("n") <= MOST).select("key", "band", "id", "component", "signature", "bands", "n").unionByName(fine.join(sizes.select("key", "n"), "key"))
     q = F.ceil(F.col("n") / BLOCK)
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), q)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), q - 1)))
-    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "signature")
-    more = stage.put(across(blocks, least_share).join(pairs, ["a", "b"], "left_anti"))
+    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "signature", "bands")
+    more = stage.put(across(blocks.join(texts(chosen).dropDuplicates(["id"]), "id"), sets, percent, least_share))
     if more.limit(1).count() == 0:
         return found
-    return connected(stage, links.union(checked(more)))
+    return connected(stage, found.where("node <> component").toDF("a", "b").union(more))

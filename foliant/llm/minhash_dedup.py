@@ -73,7 +73,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         own = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
         return own.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
-    found = similar_components(stage, items, texts, lambda column: sets_of(column, width), percent, LEAST_SHARE)
+    found = similar_components(stage, items, texts, lambda column: sets_of(column, width), percent, LEAST_SHARE, BANDS)
     named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").select("g1", "g2", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "g1", "g2").join(named, ["g1", "g2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
