@@ -251,7 +251,7 @@ def shingles(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.nda
 def jaccard_parts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and the union of two sorted arrays without repeats."""
     both = np.concatenate((a, b))
-    both.sort(kind="stable")
+    both.sort()
     shared = int(np.count_nonzero(both[1:] == both[:-1]))
     return shared, len(a) + len(b) - shared
 

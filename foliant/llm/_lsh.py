@@ -269,8 +269,11 @@ def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFram
     ids = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     pairs = stage.put(agreeing(pairs, only(items.select("id", "signature"), ids, "id").dropDuplicates(["id"]), least_share))
 
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    links = stage.put(verify(pairs, texts(ends), sets, percent))
+    # the texts that any later step may compare, read once: ends of pairs, and members of buckets that stars do not cover
+    wide = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("key"), "key", "left_semi").select("id")
+    ends = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(wide).distinct())
+    bodies = stage.put(texts(ends).dropDuplicates(["id"]))
+    links = stage.put(verify(pairs, bodies, sets, percent))
     stage.drop(shared, ids)
     found = connected(stage, links)
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -288,7 +291,7 @@ def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFram
     q = F.ceil(F.col("n") / BLOCK)
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), q)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), q - 1)))
     blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "signature", "bands")
-    more = stage.put(across(blocks.join(texts(chosen).dropDuplicates(["id"]), "id"), sets, percent, least_share))
+    more = stage.put(across(blocks.join(bodies, "id"), sets, percent, least_share))
     if more.limit(1).count() == 0:
         return found
     return connected(stage, found.where("node <> component").toDF("a", "b").union(more))

@@ -68,7 +68,11 @@ def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
 def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
     hashes, owner = line_shingles(column, width)
     cut = np.searchsorted(owner, np.arange(len(column) + 1))
-    return [np.unique(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        own = np.sort(hashes[a:b])
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own)
+    return out
 
 
 def line_id(line: Column) -> Column:
