@@ -8,12 +8,14 @@ are lower-cased in A-Z only, so that the JVM, Python and SQL forms agree.
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,15 +29,18 @@ _FOLDERS: dict[str, SparkSession] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this session under spark.checkpoint.dir, which every executor sees.
 
-    Only where that setting is absent (tests, local mode) is a folder of our
-    own chosen. The folder goes when the driver's Python ends.
+    Only where that setting is absent and all tasks run in this process (tests,
+    local mode) is a folder of our own chosen: on a cluster it would be one
+    disk an executor. The folder goes when the driver's Python ends.
     """
     for path, session in _FOLDERS.items():
         if session is spark:
             return path
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file:///tmp/checkpoints"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
     path = f"{root.rstrip('/')}/foliant-{uuid.uuid4().hex}"
     _FOLDERS[path] = spark
     return path
@@ -59,11 +64,16 @@ def _clean() -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BROADCAST_IDS = 1_000_000  # rows of a number or two: some 16 MB
+
+
 class Stage:
     """Written tables of one operator call: they cut lineage and survive lost executors.
 
     put() writes a DataFrame as Parquet in the shared folder and reads it
-    back; drop() deletes tables that no returned DataFrame needs any more.
+    back, and knows the rows written; drop() deletes tables that no returned
+    DataFrame needs any more. All others go with clear() or when the
+    driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -71,28 +81,57 @@ class Stage:
         self.path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.n = 0
         self.where: dict[int, str] = {}
+        self.counts: dict[int, int] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}"
+        seen = Observation()
         # what is written needs its shuffles no longer: they go now, not when the driver collects garbage
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.where[id(out)] = path
+        self.where[id(out)], self.counts[id(out)] = path, int(seen.get.get("n") or 0)
         out._stage = self  # keeps id(out) valid as long as the frame lives
         return out
 
+    def rows(self, df: DataFrame) -> int:
+        """The rows of a table that put() gave."""
+        return self.counts[id(df)]
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A table that put() gave, to be broadcast if it has BROADCAST_IDS rows at most; for tables of a few numbers a row."""
+        return F.broadcast(df) if self.rows(df) <= BROADCAST_IDS else df
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := self.where.pop(id(df), None):
                 _delete(self.spark, path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that the operators of this session have written: for long sessions, when no result is read any more."""
+    for path, session in list(_FOLDERS.items()):
+        if session is spark:
+            _delete(spark, path)
+
+
+def carried(keep: Iterable[str], results: Iterable[str]) -> list[tuple[str, str]]:
+    """(column, name in the result) of the columns to carry; a name that a result column has (in any case) gets the ending _in."""
+    taken, out = {c.lower() for c in results}, []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out.append((c, name))
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -212,11 +251,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (of its A-Z lower-cased form if fold), and the words before each text."""
+def word_names(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The number of each word (of its A-Z lower-cased form if fold) among the distinct ones, these, and the words before each text."""
     starts, ends, before = word_bounds(data, offsets)
-    prefix = prefix_sums(_LOWER_TABLE[data] if fold else data)
-    return span_hash(prefix, starts, ends), before
+    letters = data[~_SPACE_TABLE[data]]
+    bounds = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    letters = _LOWER_TABLE[letters] if fold else letters
+    named = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+    return np.asarray(named.indices).astype(np.int64), named.dictionary, before
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits (two rows) of XXH3 of each word, and the words before each text."""
+    number, distinct, before = word_names(data, offsets, fold)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct.to_pylist())), dtype=_U).reshape(-1, 2)
+    return both.T[:, number], before
 
 
 def shingles(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,6 +298,33 @@ def shingles(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.nda
     return (np.concatenate(out) if out else np.zeros(0, dtype=_U)), offsets
 
 
+def _renamed(keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... for the distinct keys, by first occurrence."""
+    return np.asarray(pa.array(keys).dictionary_encode().indices).astype(np.int64)
+
+
+def exact_shingles(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The distinct word shingles of each text as sorted numbers: equal numbers are equal shingles within this column, without hashing.
+
+    Names of shorter sequences are joined in pairs, and the pairs named anew.
+    """
+    number, _, before = word_names(*string_buffer(column), fold=True)
+    counts, have, name = np.diff(before), 1, number
+    while have < width:
+        step = min(have, width - have)
+        name = _renamed(name[: max(0, len(name) - step)] * (int(name.max(initial=0)) + 1) + name[step:])
+        have += step
+    out, short = [], {}
+    for at, count in zip(before[:-1].tolist(), counts.tolist(), strict=True):
+        if count >= width:
+            out.append(np.unique(name[at : at + count - width + 1]))
+        elif count:  # its whole sequence; never equal to a shingle of full width
+            out.append(np.array([-1 - short.setdefault(tuple(number[at : at + count].tolist()), len(short))]))
+        else:
+            out.append(np.zeros(0, dtype=np.int64))
+    return out
+
+
 def jaccard_parts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and the union of two sorted arrays without repeats."""
     both = np.concatenate((a, b))

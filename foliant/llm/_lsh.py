@@ -4,25 +4,31 @@ Candidates are never all pairs of a bucket. A bucket first gives the links of
 its members to its least and its greatest member; these are verified and the
 components found. Only buckets that still hold several components are looked
 at again: there, and only across components, members are compared in blocks of
-bounded size, by their signatures and then on full sets. A bucket of
-more than ``MOST`` members is first split by the members' other bands (similar
-members share some of them, as they do on the whole).
+bounded size, by their signatures and then on full sets.
+
+Open buckets of more than ``MOST`` members are not compared whole. Their
+members go by their rarest shingles instead: a set of n shingles gives those
+of its first n - ceil(percent * n / 100) + 1 in the order of frequency among
+such members. Two sets at the threshold or above share one of them (prefix
+filtering), so no pair is lost, and members that share a frequent template
+only never meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm._common import Stage, _odd, jaccard_parts, mix, slices
 from foliant.llm._components import connected
 
 _U = np.uint64
-BLOCK, MOST, BROADCAST_IDS = 512, 4096, 1_000_000
+BLOCK, MOST = 512, 4096
 _A, _B = _odd(512), _odd(512)
 
 
@@ -72,20 +78,48 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(1, bands + 1, dtype=_U)[None, :] * _B[400])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union. texts: id, text."""
+@dataclass
+class Sets:
+    """Two ways to make the sorted distinct shingles of each text of a column.
+
+    hashed: 64-bit hashes, comparable everywhere. exact: numbers that are
+    equal for equal shingles of one call, told apart by their characters.
+    screen: whether the hashes are the cheaper way and sort out pairs first.
+    """
+
+    hashed: Callable[[pa.Array], list[np.ndarray]]
+    exact: Callable[[pa.Array], list[np.ndarray]]
+    screen: bool = False
+
+
+def similar_pairs(column: pa.Array, left: np.ndarray, right: np.ndarray, sets: Sets, percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union of texts left[k] and right[k] of a column; never by hashes alone."""
+    good = np.ones(len(left), dtype=bool)
+    for make in (sets.hashed, sets.exact) if sets.screen else (sets.exact,):
+        at = np.flatnonzero(good)
+        if not len(at):
+            break
+        used, where = np.unique(np.concatenate((left[at], right[at])), return_inverse=True)
+        own = make(column.take(pa.array(used)))
+        for k, i, j in zip(at.tolist(), where[: len(at)].tolist(), where[len(at) :].tolist(), strict=True):
+            x, y = own[i], own[j]
+            good[k] = len(x) > 0 and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y))
+            if good[k]:
+                shared, union = jaccard_parts(x, y)
+                good[k] = 100 * shared >= percent * union
+    return good
+
+
+def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on full sets. texts: id, text."""
     first, second = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text_a", 1 << 18):
-                good = np.zeros(batch.num_rows, dtype=bool)
-                for i, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)):
-                    if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and len(x):
-                        shared, union = jaccard_parts(x, y)
-                        good[i] = 100 * shared >= percent * union
-                keep = pa.array(good)
+                n = np.arange(batch.num_rows)
+                keep = pa.array(similar_pairs(pa.concat_arrays([batch.column(2), batch.column(3)]), n, n + batch.num_rows, sets, percent))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
@@ -169,10 +203,10 @@ def repeated_keys(items: DataFrame, parts: int) -> DataFrame:
     return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(count, "code long")
 
 
-def across(members: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], percent: int, least_share: float) -> DataFrame:
+def across(members: DataFrame, sets: Sets, percent: int, least_share: float) -> DataFrame:
     """a, b: links between members of one block and different components, confirmed on full sets.
 
-    members: key, i, j (the block), band (the key's own, -1 if it is a pair of bands), id,
+    members: key, i, j (the block), band (the key's own, -1 if it is a shingle), id,
     component, side, bands, signature (binary, a byte a minimum), text. A pair
     is looked at in the first band that it shares, if its signatures agree in
     least_share of the minima; components that a link joins need no other, so
@@ -213,9 +247,9 @@ def across(members: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], per
                     if comps[y] == comps[x]:
                         continue
                     if own is None:
-                        own = sets(text.slice(at, to - at))
+                        own = (sets.hashed if sets.screen else sets.exact)(text.slice(at, to - at))
                     shared, union = jaccard_parts(own[x], own[y])
-                    if 100 * shared >= percent * union:
+                    if 100 * shared >= percent * union and (not sets.screen or similar_pairs(text.slice(at, to - at), np.array([x]), np.array([y]), sets, percent)[0]):
                         found.append((ids[at + x], ids[at + y]))
                         comps[comps == comps[y]] = comps[x]
         both = np.array(found, dtype=np.int64).reshape(-1, 2)
@@ -242,56 +276,69 @@ def across(members: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], per
     return ordered.select(*names).mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int, least_share: float, n_bands: int) -> DataFrame:
-    """node, component of every item that is linked with another.
+def rarest(stage: Stage, hot: DataFrame, bodies: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """key, id, component: the prefix of each member's shingles, those that another component has too. hot: id, component."""
 
-    items: id (long, one row an id or equal rows), bands (array<long>),
-    signature (binary). texts: gets a DataFrame of ids and gives id, text of
-    those. sets: the sorted distinct shingles of each text.
-    """
-    def few(df: DataFrame) -> bool:
-        """Whether df may be broadcast: BROADCAST_IDS rows of a number at most."""
-        return df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 18):
+                own = sets.hashed(batch.column(2))
+                sizes = np.array([len(x) for x in own], dtype=np.int64)
+                row = pa.array(np.repeat(np.arange(len(own)), sizes))
+                values = np.concatenate(own) if own else np.zeros(0, dtype=_U)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(values.view(np.int64)), pa.array(np.repeat(sizes, sizes))], ["id", "component", "key", "size"])
+
+    tokens = stage.put(hot.join(bodies, "id").select("id", "component", "text").mapInArrow(spread, "id long, component long, key long, size long"))
+    often = stage.put(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("x"), F.max("component").alias("y")).where("f > 1"))
+    ranked = tokens.join(often, "key", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(1)), "key")))
+    return ranked.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("x") < F.col("y"))).select("key", "id", "component")
 
-    def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-        return df.join(F.broadcast(ids) if few(ids) else ids, column, "left_semi")
 
-    parts = key_parts(items.count() * n_bands)
+def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, least_share: float, n_keys: int) -> DataFrame:
+    """node, component of every item that is linked with another.
+
+    items: id (long, one row an id or several alike), bands (array<long>),
+    signature (binary); n_keys: about as many band keys. texts: gets a table of ids and gives
+    a table of id, text of those, once an id.
+    """
+    parts = key_parts(n_keys)
     shared = stage.put(repeated_keys(items, parts))
-    keyed = only(items.select("id", F.explode("bands").alias("key")).withColumn("code", key_code(F.col("key"), parts)), shared, "code").select("id", "key")
-    members = stage.put(keyed.distinct())
+    keyed = items.select("id", F.explode("bands").alias("key")).withColumn("code", key_code(F.col("key"), parts))
+    members = stage.put(keyed.join(stage.small(shared), "code", "left_semi").select("id", "key").distinct())
     # written first: a join with the aggregate itself would keep its partitioning, and a large bucket in one task
-    buckets = stage.put(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    stars = members.join(buckets, "key")
+    buckets = stage.put(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"))
+    stars = members.join(stage.small(buckets), "key")
     star = stars.select("lo", F.col("id").alias("hi")).union(stars.select(F.col("id"), F.col("hi")))
-    pairs = star.where("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
-    pairs = stage.put(pairs)
+    pairs = stage.put(star.where("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct())
     ids = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    pairs = stage.put(agreeing(pairs, only(items.select("id", "signature"), ids, "id").dropDuplicates(["id"]), least_share))
+    pairs = stage.put(agreeing(pairs, items.select("id", "signature").join(stage.small(ids), "id", "left_semi").dropDuplicates(["id"]), least_share))
 
     # the texts that any later step may compare, read once: ends of pairs, and members of buckets that stars do not cover
-    wide = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("key"), "key", "left_semi").select("id")
-    ends = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(wide).distinct())
-    bodies = stage.put(texts(ends).dropDuplicates(["id"]))
+    wide = stage.put(buckets.where("n > 3").select("key"))
+    ends = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.join(stage.small(wide), "key", "left_semi").select("id")).distinct())
+    bodies = texts(ends)
     links = stage.put(verify(pairs, bodies, sets, percent))
     stage.drop(shared, ids)
     found = connected(stage, links)
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y and n > 3")
+    placed = members.join(stage.small(wide), "key", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # of three members the stars are all pairs
-    rest = stage.put(placed.select("key", "id", "component").join(open_keys.select("key", "n"), "key"))
-    if rest.limit(1).count() == 0:
+    opened = stage.put(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n"))
+    if not stage.rows(opened):
         return found
+    rest = stage.put(placed.select("key", "id", "component").join(stage.small(opened), "key"))
     chosen = stage.put(rest.select("id").distinct())
-    signed = rest.join(only(items.select("id", "signature", "bands"), chosen, "id").dropDuplicates(["id"]), "id").withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
-    fine = signed.where(F.col("n") > MOST).withColumn("other", F.explode("bands")).where("other <> key")
-    fine = fine.select(F.xxhash64("key", "other").alias("key"), F.lit(-1).alias("band"), "id", "component", "signature", "bands")
-    sizes = fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    blocks = signed.where(F.col("n") <= MOST).select("key", "band", "id", "component", "signature", "bands", "n").unionByName(fine.join(sizes.select("key", "n"), "key"))
+    marked = stage.put(items.select("id", "signature", "bands").join(stage.small(chosen), "id", "left_semi").dropDuplicates(["id"]))
+    groups = rest.where(F.col("n") <= MOST).select("key", "id", "component", "n", F.lit(True).alias("banded"))
+    hot = stage.put(rest.where(F.col("n") > MOST).select("id", "component").distinct())
+    if stage.rows(hot):
+        fine = stage.put(rarest(stage, hot, bodies, sets, percent))
+        sizes = stage.put(fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "n"))
+        groups = groups.unionByName(fine.join(stage.small(sizes), "key").withColumn("banded", F.lit(False)))
     q = F.ceil(F.col("n") / BLOCK)
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), q)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), q - 1)))
-    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "signature", "bands")
-    more = stage.put(across(blocks.join(bodies, "id"), sets, percent, least_share))
-    if more.limit(1).count() == 0:
+    blocks = groups.withColumn("own", F.pmod(F.xxhash64("id"), q)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), q - 1)))
+    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "banded", "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    band = F.when(F.col("banded"), F.array_position("bands", F.col("key")).cast("int") - 1).otherwise(-1)
+    more = stage.put(across(blocks.join(marked, "id").withColumn("band", band).join(bodies, "id"), sets, percent, least_share))
+    if not stage.rows(more):
         return found
     return connected(stage, found.where("node <> component").toDF("a", "b").union(more))

@@ -3,16 +3,18 @@
 A line is a ``\\n``-separated piece of a text; lines without a word always
 stay. Its set is its distinct shingles of ``width`` characters (code points;
 a shorter line is one shingle). One-permutation MinHash with universal
-densification gives 72 minima in 18 bands of 4 (a pair at similarity 0.8 is
-missed with probability 8e-5, at 0.85 with 2e-6); candidates are verified by
-exact Jaccard similarity and joined by distributed union-find. Equal lines are
-one node. Of each component the line first in (document id, text hash, line
-number) stays.
+densification gives 80 minima in 20 bands of 4 (a pair at similarity 0.8 is
+missed with probability 2.6e-5, at 0.85 with 4e-7); candidates are verified by
+exact Jaccard similarity, shingles compared by their characters, and joined by
+distributed union-find. Equal lines are one node, known by 128 bits of hashes.
+Of each component the line first in (document id, text hash, line number)
+stays.
 
 Defined results: null texts stay null; a text whose lines all stay is not
-changed; nulls order first among ids; rows equal in id and text are one
-document, and each of them keeps that document's lines; an empty table gives
-an empty table. Extra columns named in ``keep`` are carried.
+changed; an empty text is one line; nulls order first among ids; rows equal in
+id and text are one document, and each of them keeps that document's lines;
+very long texts are read whole; an empty table gives an empty table. Extra
+columns named in ``keep`` are carried (``carried`` names those that clash).
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import _SPACE_TABLE, MULTIPLIERS, Stage, mix, powers, signed, slices, string_buffer
-from foliant.llm._lsh import BROADCAST_IDS, band_keys, binned_minima, similar_components
+from foliant.llm._common import _SPACE_TABLE, MULTIPLIERS, Stage, carried, mix, powers, signed, slices, string_buffer
+from foliant.llm._lsh import Sets, band_keys, binned_minima, similar_components
 
 PIECE_BYTES = 1 << 20
-BANDS, ROWS = 18, 4
-LEAST_SHARE = 0.45  # of the 36 minima that are kept; at similarity 0.8 five standard deviations below
+BANDS, ROWS = 20, 4
+LEAST_SHARE = 0.55  # of equal minima; at similarity 0.8 more than five standard deviations below
 SEEN = 200_000  # line hashes that a worker remembers, so as not to sign equal lines again
 _U = np.uint64
 _POINT_VALUES = mix(np.arange(1 << 16, dtype=_U) + MULTIPLIERS[8])
@@ -75,17 +77,27 @@ def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def line_id(line: Column) -> Column:
-    """XXH64 with seed 42 of the line's bytes, the same here as in Python's xxhash."""
-    return F.xxhash64(line)
+def exact_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The distinct shingles of each line as numbers, equal for equal strings within this column."""
+    names: dict[str, int] = {}
+    out = []
+    for line in column.to_pylist():
+        line = line or ""
+        own = {line[i : i + width] for i in range(max(1, len(line) - width + 1))} if line else set()
+        out.append(np.array(sorted(names.setdefault(x, len(names)) for x in own), dtype=np.int64))
+    return out
+
+
+#: Seeds of XXH64 that make a line's id and its check, the same here as in Spark's xxhash64(line) and xxhash64(1, line).
+ID_SEED, CHECK_SEED = 42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_hash, line_no, line, id: the lines with a word."""
+    """doc_id, text_hash, line_no, line, id, check: the lines with a word."""
     # hash and split first: beside the generator they would be made for every line
     whole = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.split(docs[text], "\n", -1).alias("lines"))
     rows = whole.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", line_id(F.col("line")))
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
 
 
 def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -112,7 +124,7 @@ def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _signed_lines(docs: DataFrame, doc_id: str, text: str, width: int, id_type: str) -> DataFrame:
-    """doc_id, text_hash, line_no, id (as line_id), bands, signature of all lines with a word; the last two null where this worker has signed an equal line before."""
+    """doc_id, text_hash, line_no, id, check, bands, signature of all lines with a word; the last two null where this worker has signed an equal line before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -121,7 +133,8 @@ def _signed_lines(docs: DataFrame, doc_id: str, text: str, width: int, id_type:
                 lines, row, number = split_lines(piece.column(2))
                 data, offsets = string_buffer(lines)
                 raw, bounds, n = data.tobytes(), offsets.tolist(), len(lines)
-                ids = np.fromiter((xxhash.xxh64_intdigest(raw[a:z], 42) for a, z in zip(bounds[:-1], bounds[1:], strict=True)), dtype=_U, count=n).view(np.int64)
+                pieces = [raw[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+                ids, checks = (np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in pieces), dtype=_U, count=n).view(np.int64) for seed in (ID_SEED, CHECK_SEED))
                 _, first = np.unique(ids, return_index=True)
                 new = np.sort(np.array([i for i in first.tolist() if int(ids[i]) not in seen], dtype=np.int64))
                 if len(seen) > SEEN:
@@ -137,15 +150,44 @@ def _signed_lines(docs: DataFrame, doc_id: str, text: str, width: int, id_type:
                     at += sub.num_rows
                 empty = [np.zeros(0, dtype=_U)], [np.zeros(0, dtype=np.int64)]
                 minimal = binned_minima(np.concatenate(parts or empty[0]), np.concatenate(owners or empty[1]), len(new), BANDS * ROWS)
-                keys, low = band_keys(minimal, BANDS, ROWS), (minimal[:, ::2] & 0xFF).astype(np.uint8)
+                keys, low = band_keys(minimal, BANDS, ROWS), (minimal & 0xFF).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(fresh) * BANDS)).astype(np.int32)), signed(keys.ravel()))
                 marks = np.full(n, None, dtype=object)
                 marks[new] = [x.tobytes() for x in low]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(take), piece.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(ids), lists, pa.array(marks, type=pa.binary())], ["doc_id", "text_hash", "line_no", "id", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(take), piece.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(ids), pa.array(checks), lists, pa.array(marks, type=pa.binary())], ["doc_id", "text_hash", "line_no", "id", "check", "bands", "signature"])
 
     whole = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("_text"))
-    return whole.mapInArrow(run, f"doc_id {id_type}, text_hash long, line_no int, id long, bands array<long>, signature binary")
+    return whole.mapInArrow(run, f"doc_id {id_type}, text_hash long, line_no int, id long, check long, bands array<long>, signature binary")
+
+
+def without_lines(column: pa.Array, numbers: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts without the lines of these numbers (a list or null each), the lines they had and those removed."""
+    data, offsets = string_buffer(column)
+    n = len(column)
+    breaks = np.flatnonzero(data == 10)
+    row_of_break = np.searchsorted(offsets, breaks, side="right") - 1
+    counts = np.bincount(row_of_break, minlength=n) + 1
+    first = np.concatenate(([0], np.cumsum(counts)))
+    line_of_break = np.arange(len(breaks)) + row_of_break  # every text before has one line more than breaks
+    starts, ends = np.empty(first[-1], dtype=np.int64), np.empty(first[-1], dtype=np.int64)
+    starts[first[:-1]], ends[first[1:] - 1] = offsets[:-1], offsets[1:]
+    starts[line_of_break + 1], ends[line_of_break] = breaks + 1, breaks
+    stays = np.ones(first[-1], dtype=bool)
+    row = np.repeat(np.arange(n), np.asarray(numbers.value_lengths().fill_null(0)))
+    stays[first[row] + np.asarray(numbers.flatten()).astype(np.int64)] = False
+    gone = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(gone, starts[~stays], 1)
+    np.add.at(gone, ends[~stays], -1)
+    left = np.cumsum(gone[:-1]) == 0
+    # a line feed stays after a line that stays and is not its text's last to stay
+    last = np.maximum.reduceat(np.where(stays, np.arange(len(stays)), -1), first[:-1]) if n else np.zeros(0, dtype=np.int64)
+    left[breaks] = stays[line_of_break] & (line_of_break < last[row_of_break])
+    bounds = np.concatenate(([0], np.cumsum(left)))[offsets]
+    missing = np.asarray(column.is_null())
+    valid = pa.array(~missing).buffers()[1] if missing.any() else None
+    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[left]), valid)
+    return texts.cast(pa.string()), np.where(missing, 0, counts), np.where(missing, 0, counts - np.add.reduceat(stays, first[:-1], dtype=np.int64) if n else 0)
 
 
 def fuzzy_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), width: int = 8, percent: int = 80) -> DataFrame:
@@ -153,41 +195,38 @@ def fuzzy_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     stage = Stage(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = stage.put(_signed_lines(docs, doc_id, text, width, id_type))
+    checked: list[DataFrame] = []
 
     def texts(ids: DataFrame) -> DataFrame:
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        own = _lines(docs, doc_id, text).select("id", F.col("line").alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        return own.dropDuplicates(["id"])
+        own = _lines(docs, doc_id, text).select("id", "check", F.col("line").alias("text")).join(stage.small(ids), "id", "left_semi")
+        checked.append(stage.put(own.dropDuplicates(["id"])))
+        return checked[0]
 
     items = rows.where(F.size("bands") > 0).select("id", "bands", "signature")
-    found = similar_components(stage, items, texts, lambda column: sets_of(column, width), percent, LEAST_SHARE, BANDS)
-    placed = rows.select("doc_id", "text_hash", "line_no", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("doc_id", "text_hash", "line_no", F.coalesce("component", "id").alias("component"))
-    often = stage.put(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"))
-    few = often.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    again = stage.put(placed.join(F.broadcast(often) if few else often, "component"))
+    sets = Sets(lambda column: sets_of(column, width), lambda column: exact_sets(column, width), screen=True)
+    found = similar_components(stage, items, texts, sets, percent, LEAST_SHARE, stage.rows(rows) * BANDS)
+    # links hold for the line that was compared; one of the same id but another check is only like itself
+    found = stage.put(found.withColumnRenamed("node", "id").join(checked[0].select("id", F.col("check").alias("of")), "id"))
+    placed = rows.select("doc_id", "text_hash", "line_no", "id", "check").join(stage.small(found), "id", "left")
+    linked = F.col("check") == F.col("of")
+    placed = placed.select("doc_id", "text_hash", "line_no", F.when(linked, F.col("component")).otherwise(F.col("id")).alias("c"), F.when(linked, F.lit(0)).otherwise(F.col("check")).alias("c2"))
+    often = stage.put(placed.groupBy("c", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "c2"))
+    again = stage.put(placed.join(stage.small(often), ["c", "c2"]))
     stage.drop(rows)
     place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = again.groupBy("component").agg(F.min(place).alias("first"))
-    later = again.join(firsts, "component").where(~place.eqNullSafe(F.col("first")))
+    firsts = stage.put(again.groupBy("c", "c2").agg(F.min(place).alias("first")))
+    later = again.join(stage.small(firsts), ["c", "c2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash")).agg(F.collect_set("line_no").alias("gone"))
-    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"), *[docs[c].alias(f"k_{c}") for c in keep])
-    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["s_id"]) & (own["h"] == gone["s_hash"]), "left").select("doc_id", "text", "gone", *[f"k_{c}" for c in keep])
+    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"), *[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)])
+    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["s_id"]) & (own["h"] == gone["s_hash"]), "left").select("doc_id", "text", "gone", *[f"k_{i}" for i in range(len(keep))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed = [], [], []
-            for whole, numbers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lines = whole.split("\n") if whole is not None else []
-                left = lines
-                if numbers:
-                    drop = set(numbers)
-                    left = [x for i, x in enumerate(lines) if i not in drop]
-                texts.append("\n".join(left) if numbers else whole)
-                counts.append(len(lines))
-                removed.append(len(lines) - len(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string()), pa.array(counts, type=pa.int64()), pa.array(removed, type=pa.int64()), *(batch.column(3 + i) for i in range(len(keep)))], ["doc_id", "text", "n_lines", "n_removed", *[f"k_{c}" for c in keep]])
-
-    kept_types = "".join(f", `k_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+            for piece in slices(batch, "text", PIECE_BYTES):
+                left, counts, removed = without_lines(piece.column(1), piece.column(2))
+                yield pa.RecordBatch.from_arrays([piece.column(0), left, pa.array(counts, type=pa.int64()), pa.array(removed, type=pa.int64()), *(piece.column(3 + i) for i in range(len(keep)))], ["doc_id", "text", "n_lines", "n_removed", *[f"k_{i}" for i in range(len(keep))]])
+
+    kept_types = "".join(f", k_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = joined.mapInArrow(cut, f"doc_id {id_type}, text string, n_lines long, n_removed long{kept_types}")
-    return out.select("doc_id", "text", "n_lines", "n_removed", *[F.col(f"k_{c}").alias(c) for c in keep])
+    results = ["doc_id", "text", "n_lines", "n_removed"]
+    return out.select(*results, *[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))])

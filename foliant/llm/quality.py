@@ -8,11 +8,15 @@ repeated substrings, and their union is the covered fraction.
 
 A text is kept if it passes the base rules (``min_words``, at most
 ``max_repeat_percent`` percent of its words in repeated windows) and the
-longest repeat has at most ``max_longest`` words.
+longest repeat has at most ``max_longest`` words. Words are told apart by
+their bytes. Common prefixes are followed as far as the rules ask, so memory is
+a rank a word for each of about log2(max_longest) levels, however long and
+repetitive a text is; ``longest_repeat`` is at most max_longest + 1.
 
 Defined results: null and blank texts have no words and fail; any length of
 text is judged whole; repeated rows are judged alike; an empty table gives an
-empty table; extra columns are ignored unless named in ``keep``.
+empty table; no result depends on an order, so there are no ties; extra columns
+are ignored unless named in ``keep`` (``carried`` names those that clash).
 """
 
 from __future__ import annotations
@@ -22,67 +26,66 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from foliant.llm._common import MULTIPLIERS, mix, slices, string_buffer, word_bounds, word_hashes
+from foliant.llm._common import carried, slices, string_buffer, word_names
 
 PIECE_BYTES = 1 << 20
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def repeat_lengths(symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """For each position, the longest prefix of its suffix that another suffix of the same text starts with.
+def repeat_lengths(symbols: np.ndarray, before: np.ndarray, most: int) -> np.ndarray:
+    """For each position, the longest prefix (most at most) of its suffix that another suffix of the same text starts with.
 
-    symbols: uint64 hashes; before: offsets of texts (n + 1). Prefix doubling
-    keeps, for each level k, a rank of the prefixes of 2 ** k symbols; only
-    positions whose rank is still shared are sorted again.
+    symbols: numbers from 0 up; before: offsets of texts (n + 1). Prefix
+    doubling keeps, for each level k, a rank of the prefixes of 2 ** k
+    symbols, until these are longer than most; only positions whose rank is
+    still shared are sorted again.
     """
     n = len(symbols)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
+    small = np.int32 if n < 2**31 else np.int64
     owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    end = before[1:][owner]
-    _, inverse, count = np.unique(mix(symbols + owner.astype(np.uint64) * MULTIPLIERS[7]), return_inverse=True, return_counts=True)
-    first = np.cumsum(count) - count
-    rank = first[inverse].astype(np.int64)
-    levels, shared = [rank], np.flatnonzero(count[inverse] > 1)
+    end = before[1:][owner].astype(small)
+    key = owner * (int(symbols.max()) + 1) + symbols
+    index = np.arange(n)
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    rank = np.empty(n, dtype=small)
+    rank[order] = np.maximum.accumulate(np.where(new, index, 0))
+    levels, shared = [rank], np.sort(order[~(new & np.concatenate((new[1:], [True])))])
     step = 1
-    while len(shared):
+    while len(shared) and step <= most:
         to = shared + step
         second = np.zeros(len(shared), dtype=np.int64)
         inside = to < end[shared]
-        second[inside] = rank[to[inside]] + 1
-        keys = np.sort(np.stack((rank[shared] << 32 | second, shared)).T.copy().view([("k", "i8"), ("p", "i8")]).ravel(), order="k", kind="stable") if n >= 2**31 else None
-        if keys is None:
-            order = np.argsort(rank[shared] << 32 | second, kind="stable")
-            at = shared[order]
-            key = (rank[shared] << 32 | second)[order]
-        else:
-            key, at = keys["k"], keys["p"]
-        old = key >> 32
+        second[inside] = rank[to[inside]].astype(np.int64) + 1
+        first = rank[shared].astype(np.int64)
+        by = np.argsort(first << 32 | second, kind="stable") if n < 2**31 else np.lexsort((second, first))
+        at, old, second = shared[by], first[by], second[by]
         new_old = np.concatenate(([True], old[1:] != old[:-1]))
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new_key = new_old | np.concatenate(([True], second[1:] != second[:-1]))
         index = np.arange(len(at))
         base = np.maximum.accumulate(np.where(new_old, index, 0))
         group = np.maximum.accumulate(np.where(new_key, index, 0))
         rank = rank.copy()
         rank[at] = old + group - base
         levels.append(rank)
-        last = np.concatenate((new_key[1:], [True]))
-        shared = np.sort(at[~(new_key & last)])
+        shared = np.sort(at[~(new_key & np.concatenate((new_key[1:], [True])))])
         step *= 2
-    order = np.empty(n, dtype=np.int64)
-    order[rank] = np.arange(n)
+    # neighbours in the order by the last ranks, suffixes equal so far in any order
+    order = np.argsort(rank, kind="stable")
     a, b = order[:-1], order[1:]
     length = np.zeros(n - 1, dtype=np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        level, x, y = levels[k], a + length, b + length
-        inside = (x < end[a]) & (y < end[b])
-        same = np.zeros(n - 1, dtype=bool)
-        same[inside] = level[x[inside]] == level[y[inside]]
-        length[same] += 1 << k
+        x, y = a + length, b + length
+        inside = np.flatnonzero((x < end[a]) & (y < end[b]))
+        level = levels.pop()
+        length[inside[level[x[inside]] == level[y[inside]]]] += 1 << k
     longest = np.zeros(n + 1, dtype=np.int64)
-    longest[1:n] = length
+    longest[1:n] = np.minimum(length, most)
     out = np.empty(n, dtype=np.int64)
     out[order] = np.maximum(longest[:-1], longest[1:])
     return out
@@ -104,14 +107,14 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def measures(column: pa.Array, window: int) -> dict[str, np.ndarray]:
-    """The figures of each text of an Arrow string column."""
+def measures(column: pa.Array, window: int, most: int) -> dict[str, np.ndarray]:
+    """The figures of each text of an Arrow string column; repeats are followed up to most words."""
     data, offsets = string_buffer(column)
-    hashes, before = word_hashes(data, offsets, fold=False)
+    names, _, before = word_names(data, offsets, fold=False)
     blank = np.zeros(256, dtype=bool)
     blank[[9, 10, 11, 12, 13, 32]] = True
     points = ((data & 0xC0) != 0x80) & ~blank[data]
-    lengths = repeat_lengths(hashes, before)
+    lengths = repeat_lengths(names, before, most)
     longest = np.zeros(len(before) - 1, dtype=np.int64)
     some = np.diff(before) > 0
     if some.any():
@@ -132,16 +135,19 @@ def measures(column: pa.Array, window: int) -> dict[str, np.ndarray]:
 
 def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = 10, window: int = 5, max_repeat_percent: int = 20, max_longest: int = 400) -> DataFrame:
     """keep columns with the measures, base_failed and kept; one row for each row of docs."""
-    kept = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
+    kept = docs.select(*[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)], docs[text].alias("_text"))
     n = len(keep)
+    carry = [f"k_{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "_text", PIECE_BYTES):
-                m = measures(piece.column(n), window)
+                m = measures(piece.column(n), window, max(window, max_longest + 1))
                 failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
                 good = ~failed & (m["longest_repeat"] <= max_longest)
-                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(n)), *map(pa.array, m.values()), pa.array(failed), pa.array(good)], [*keep, *m, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(n)), *map(pa.array, m.values()), pa.array(failed), pa.array(good)], [*carry, *m, "base_failed", "kept"])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return kept.mapInArrow(run, f"{schema}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, base_failed boolean, kept boolean")
+    schema = "".join(f"k_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "base_failed", "kept"]
+    out = kept.mapInArrow(run, f"{schema}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, base_failed boolean, kept boolean")
+    return out.select(*[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))], *results)
