@@ -1,13 +1,19 @@
-"""Burrows-Wheeler transforms of shards of short strings, merged by interleave refinement.
-
-A shard's transform is its suffixes in the order of their first HEAD symbols
-(the transform of limited context order), with the symbols before each suffix
-at hand in the text. Shards are merged without sorting their suffixes anew:
-their runs are interleaved by the heads, and a stable pass over the interleave
-by the h symbols that precede each suffix (a super-letter of the transform at
-stride h, named by its own block) gives the interleave by 2h symbols. Blocks
-that remain after the last pass are the intervals of suffixes whose longest
-common prefix is depth at least, that is, repeated strings.
+"""Burrows-Wheeler transforms of shards of strings, merged by iterative interleave refinement.
+
+A shard is a list of byte strings, each ended by a symbol of its own that is
+less than all bytes. Its transform is its last column: the symbol before every
+suffix, in the order of the suffixes. Only the last column and the number of
+strings go on; the suffixes' places are found from it when they are needed
+(``places``), by walking all strings backwards at once.
+
+``merge`` never sorts or compares suffixes. It begins with one shard after the
+other, and refines this interleave: a pass deals the rows of a block by their
+last symbol, which moves each row to the row before it (a counting pass), so
+that rows in order by k - 1 symbols come to be in order by k. A pass need look
+only at the blocks that the pass before has split. The pass in which two
+neighbours part gives their longest common prefix, one symbol less; blocks not
+parted after ``depth`` passes are the intervals of suffixes that share depth
+symbols at least, the repeated strings.
 """
 
 from __future__ import annotations
@@ -16,95 +22,143 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HEAD = 8
-_U = np.uint64
-_LOW = np.uint64(0xFFFFFFFF)
+HEAD = 7  # symbols of 9 bits in a sort key
 
 
 @dataclass
 class Transform:
-    """text: bytes; order: its suffixes by their heads; head: the heads in this order."""
-
-    text: np.ndarray
-    order: np.ndarray
-    head: np.ndarray
-
-
-def heads(text: np.ndarray) -> np.ndarray:
-    """The first 8 symbols of each suffix as a number, zeros after the text's end."""
-    n = len(text)
-    wide = np.zeros(n + HEAD - 1, dtype=_U)
-    wide[:n] = text
-    out, have = wide, 1
-    while have < HEAD:
-        out = (out[: len(out) - have] << _U(8 * have)) | out[have:]
-        have *= 2
+    """last: the symbols before the suffixes in order, byte + 1, or 0 where a string begins; n: its strings."""
+
+    last: np.ndarray
+    n: int
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """The last column in bytes, and the rows where strings begin."""
+        begins = np.flatnonzero(self.last == 0).astype(np.uint32)
+        return (np.maximum(self.last, 1) - 1).astype(np.uint8).tobytes(), begins.tobytes()
+
+    @staticmethod
+    def unpacked(last: bytes, begins: bytes) -> Transform:
+        column, at = np.frombuffer(last, dtype=np.uint8).astype(np.uint16) + np.uint16(1), np.frombuffer(begins, dtype=np.uint32)
+        column[at] = 0
+        return Transform(column, len(at))
+
+
+def transform(strings: list[bytes]) -> Transform:
+    """The transform of one shard; equal suffixes are in the order of their strings."""
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    n = int(ends[-1]) + 1 if len(strings) else 0
+    symbols = np.zeros(n, dtype=np.uint16)
+    inside = np.ones(n, dtype=bool)
+    inside[ends] = False
+    symbols[inside] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + np.uint16(1)
+    room = np.repeat(ends, sizes + 1) - np.arange(n)  # symbols before the string's end
+    head = np.zeros(n + 1, dtype=np.uint64)
+    wide = symbols.astype(np.uint64) << np.uint64(9 * (HEAD - 1))
+    for _ in range(HEAD):  # nothing after a string's end
+        head[:n] = np.where(inside, wide | head[1:] >> np.uint64(9), 0)
+    head = head[:n]
+    order = np.argsort(head, kind="stable")
+    new = np.concatenate(([True], head[order][1:] != head[order][:-1])) | (room[order] < HEAD) if n else np.zeros(0, dtype=bool)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    shared = np.sort(order[~(new & np.concatenate((new[1:], [True])))]) if n else order
+    step = HEAD
+    while len(shared):  # these share step symbols and have more
+        first, second = rank[shared], rank[shared + step]
+        by = np.argsort(first << 32 | second, kind="stable")
+        at, old, second = shared[by], first[by], second[by]
+        new_old = np.concatenate(([True], old[1:] != old[:-1]))
+        new = new_old | np.concatenate(([True], second[1:] != second[:-1]))
+        index = np.arange(len(at))
+        rank[at] = old + np.maximum.accumulate(np.where(new, index, 0)) - np.maximum.accumulate(np.where(new_old, index, 0))
+        shared = np.sort(at[~(new & np.concatenate((new[1:], [True])))])
+        step *= 2
+    suffixes = np.empty(n, dtype=np.int64)
+    suffixes[rank] = np.arange(n)
+    return Transform(symbols[suffixes - 1], len(strings))
+
+
+def before(last: np.ndarray) -> np.ndarray:
+    """The row of the suffix that is one symbol longer, of each row, by counting symbols; of rows that begin a string: none of use."""
+    out = np.empty(len(last), dtype=np.uint32)
+    out[np.argsort(last, kind="stable")] = np.arange(len(last), dtype=np.uint32)
     return out
 
 
-def transform(text: np.ndarray) -> Transform:
-    head = heads(text)
-    order = np.argsort(head, kind="stable")
-    return Transform(text, order.astype(np.uint32), head[order])
-
-
-def _numbered(changes: np.ndarray) -> np.ndarray:
-    """Block numbers along the interleave, from where blocks begin."""
-    return np.cumsum(changes, dtype=np.uint32) - np.uint32(1)
-
-
-def refine(block: np.ndarray, along: np.ndarray, order: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From the interleave by the first h >= step symbols to that by h + step symbols.
-
-    block: number of each position's block; along: the same along the
-    interleave; order: positions along it. The suffix at i + step, in its
-    place, puts the suffix at i next in the block of i: one stable pass by the
-    preceding super-letter, here a sort of (block, place) pairs, all different.
-    """
-    n = len(order)
-    place = np.empty(n, dtype=np.uint32)
-    place[order] = np.arange(n, dtype=np.uint32)
-    key = block.astype(_U) << _U(32)
-    key[: n - step] |= place[step:] + _U(1)
-    # the last step suffixes have nothing that follows: they come first in their blocks, apart from each other
-    tail = np.argsort(key[n - step :], kind="stable") + (n - step)
-    key.sort()
-    follow = (key & _LOW).astype(np.int64) - 1
-    inside = follow >= 0
-    new_order = np.empty(n, dtype=np.uint32)
-    new_order[inside] = order[follow[inside]] - np.uint32(step)
-    new_order[~inside] = tail
-    second = np.where(inside, along[follow].astype(np.int64), -1)
-    first = key >> _U(32)
-    changes = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-    new_along = _numbered(changes)
-    new_block = np.empty(n, dtype=np.uint32)
-    new_block[new_order] = new_along
-    return new_block, new_along, new_order
+def places(shard: Transform, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The string and the offset in it of each row. sizes: of the strings, in their order."""
+    longer = before(shard.last)
+    owner, offset = np.empty(len(shard.last), dtype=np.int64), np.empty(len(shard.last), dtype=np.int64)
+    row, who, left = np.arange(shard.n), np.arange(shard.n), np.asarray(sizes, dtype=np.int64)
+    while len(row):  # the ends of the strings are the first rows
+        owner[row], offset[row] = who, left
+        more = left > 0
+        row, who, left = longer[row[more]].astype(np.int64), who[more], left[more] - 1
+    return owner, offset
+
+
+def _by_digits(key: np.ndarray, top: int) -> np.ndarray:
+    """A stable counting order of keys from 0 to top, 16 bits at a time."""
+    order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
+    shift = 16
+    while top >> shift:
+        order = order[np.argsort((key[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
 
 
 def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of depth >= 8 symbols, by position of the joined texts, and the joined order.
-
-    Prefixes may run over the end of a string within a text: whoever reads the
-    blocks looks only at positions with depth symbols before the string's end.
-    """
-    start = np.cumsum([0, *(len(s.text) for s in shards)])[:-1]
-    text = np.concatenate([s.text for s in shards])
-    # heads near a shard's end go on in the next text: these few are made again
-    head = np.concatenate([s.head for s in shards])
-    order = np.concatenate([s.order + np.uint32(a) for s, a in zip(shards, start, strict=True)])
-    if len(shards) > 1:
-        whole = heads(text)
-        head = whole[order]
-        interleave = np.argsort(head, kind="stable")
-        order, head = order[interleave], head[interleave]
-    along = _numbered(np.concatenate(([True], head[1:] != head[:-1])))
-    block = np.empty(len(text), dtype=np.uint32)
-    block[order] = along
-    h = HEAD
-    while h < depth:
-        step = min(h, depth - h)
-        block, along, order = refine(block, along, order, step)
-        h += step
-    return block, order
+    """The merged order of all rows (numbered shard after shard), and the common prefix of each with the one before, depth at most."""
+    if not shards:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    starts = np.cumsum([0, *(len(s.last) for s in shards)])[:-1]
+    last = np.concatenate([s.last for s in shards])
+    longer = np.concatenate([before(s.last).astype(np.int64) + a for s, a in zip(shards, starts, strict=True)])
+    n = len(last)
+    first = np.concatenate([np.sort(s.last, kind="stable") for s in shards])  # a sorted last column is the first one
+    order = np.argsort(first, kind="stable")
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    common = np.full(n, depth, dtype=np.int16 if depth < 2**15 else np.int64)
+    symbol = first[order]
+    parted = np.concatenate(([True], symbol[1:] != symbol[:-1])) if n else np.zeros(0, dtype=bool)
+    common[parted] = 0
+    at, block, blocks = np.arange(n), np.zeros(n, dtype=np.int64), 1  # places of the blocks to look at, and which block each is of
+    sub = np.cumsum(parted)
+    for k in range(2, depth + 1):
+        row = order[at]
+        c = last[row].astype(np.int64)
+        some = c > 0
+        row, key, label = row[some], block[some] * 257 + c[some], sub[some]
+        if not len(row):
+            break
+        by = _by_digits(key, blocks * 257)
+        moved, key, label = longer[row[by]], key[by], label[by]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        cut = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        to = np.minimum.reduceat(place[moved], cut)[group] + (np.arange(len(moved)) - cut[group])
+        order[to], place[moved] = moved, to
+        parted = ~new & np.concatenate(([True], label[1:] != label[:-1]))
+        common[to[parted]] = k - 1
+        split = np.zeros(len(cut), dtype=bool)
+        split[group[parted]] = True
+        active = split[group]
+        if not active.any():
+            break
+        at, sub = to[active], np.cumsum(parted[active])
+        block = (np.cumsum(split) - 1)[group[active]]
+        blocks = int(split.sum())
+    return order, common
+
+
+def repeated(order: np.ndarray, common: np.ndarray, weight: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each row's first depth symbols have a weight of more than one in all."""
+    out = np.zeros(len(order), dtype=bool)
+    if len(order):
+        cut = np.flatnonzero(common < depth)
+        total = np.add.reduceat(weight[order], cut)
+        out[order] = np.repeat(total > 1, np.diff(np.append(cut, len(order))))
+    return out

@@ -8,11 +8,14 @@
    equal gram and equal context (128 bits of hashes) repeat whole: done. Of
    the grams with several contexts, each distinct context goes on once, with
    its number of occurrences.
-3. Transforms. The contexts of a gram are brought together; Burrows-Wheeler
-   transforms of shards of contexts are merged by iterative interleave
-   refinement (``_bwt``) into blocks of suffixes with a common prefix of
-   ``least`` bytes; a window is repeated if its block holds another occurrence.
-4. A gram with more than ``most`` contexts is first split: the windows'
+3. Transforms. Grams are dealt into groups of about ``GROUP_BYTES``, and the
+   contexts of a group into ``SHARDS`` shards. A task makes the Burrows-Wheeler
+   transform of each shard (``_bwt``); only transforms go on. Another task
+   merges those of a group by iterative interleave refinement, which gives the
+   common prefixes; a window is repeated if its interval of suffixes with
+   ``least`` bytes in common holds another occurrence. No suffix is sorted
+   again after its shard.
+4. A gram with more than ``MOST`` contexts is first split: the windows'
    offsets are cut into four ranges, each of which has a core that all its
    windows contain; contexts go on by the core's hash. After four splits a
    range is one window, whose equal contexts are counted. So no group is
@@ -21,27 +24,31 @@
 
 Documents are told apart by id and text hash; equal rows are occurrences of
 each other. Defined results: null and empty texts have no bytes; texts
-shorter than ``least`` bytes are kept whole; a null id is an id; an empty
-table gives an empty table; extra columns named in ``keep`` are carried.
+shorter than ``least`` bytes are kept whole; very long texts are read whole; a
+null id is an id; all copies of a string go, so there are no ties; an empty
+table gives an empty table; extra columns named in ``keep`` are carried
+(``carried`` names those that clash).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import _bwt
-from foliant.llm._common import MULTIPLIERS, Stage, mix, powers, prefix_sums, signed, slices, string_buffer
+from foliant.llm._common import Stage, carried, mix, powers, prefix_sums, signed, slices, string_buffer
 
 GRAM = 32
 PIECE_BYTES = 1 << 20
 SEGMENT = 1 << 23
-SHARD_BYTES, BATCH_BYTES, MOST = 1 << 17, 1 << 18, 8192
+GROUP_BYTES, SHARDS, MOST = 1 << 19, 4, 2048
 _U = np.uint64
 _LOW = (1 << 24) - 1  # of a position within a segment
 
@@ -85,10 +92,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return position[new], gram[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
 
 
-def _context_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), True)[start] + extra.astype(_U) * MULTIPLIERS[3] + (end - start).astype(_U) * MULTIPLIERS[4])
-
-
 def _anchor_rows(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     """doc_id, h, key (gram), c (context), at, l, r: bytes at - l .. at + r are the context."""
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("_text"))
@@ -101,8 +104,8 @@ def _anchor_rows(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFra
                 at, gram, first, last = anchors(data, offsets, least)
                 row = np.searchsorted(offsets, at, side="right") - 1
                 left, right = at - first, last + least - at
-                prefix = prefix_sums(data)
-                c = _context_hash(prefix, at - left, at + right, left)
+                raw = data.tobytes()
+                c = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z], k) for a, z, k in zip((at - left).tolist(), (at + right).tolist(), left.tolist(), strict=True)), dtype=_U, count=len(at))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(take), piece.column(1).take(take), signed(gram), signed(c), pa.array(at - offsets[row]), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], ["doc_id", "h", "key", "c", "at", "l", "r"])
 
@@ -140,111 +143,92 @@ def _split(rows: DataFrame, least: int, wide: int, id_type: str) -> DataFrame:
     part = -(-wide // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            get = {k: batch.column(i) for i, k in enumerate(names)}
-            body, keys = get["body"].to_pylist(), get["key"].to_pylist()
-            low, grid, at, start = (get[k].to_pylist() for k in ("low", "grid", "at", "start"))
-            out: dict[str, list] = {k: [] for k in ("i", "key", "c", "low", "grid", "start", "body")}
-            for i, b in enumerate(body):
-                for q in range(4):
-                    first, end = grid[i] + q * part, min(grid[i] + (q + 1) * part, grid[i] + wide)  # offsets first .. end - 1
-                    base = start[i] - at[i]  # offset of body[0]
-                    a, z = max(first, base), min(end - 1, base + len(b) - least)
-                    if a > z:
-                        continue
-                    core = b[end - 1 - base : first - base + least]
-                    own = b[a - base : z - base + least]
-                    mark = hashlib.blake2b(core, digest_size=8, key=(keys[i] & (2**64 - 1)).to_bytes(8, "big") + bytes([q])).digest()
-                    c = hashlib.blake2b(own, digest_size=8, key=bytes([(a - first) & 255])).digest()
-                    for k, v in zip(out, (i, int.from_bytes(mark, "big", signed=True), int.from_bytes(c, "big", signed=True), a, first, at[i] + a, own), strict=True):
-                        out[k].append(v)
-            take = pa.array(out["i"], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([get["doc_id"].take(take), get["h"].take(take), pa.array(out["key"], type=pa.int64()), pa.array(out["c"], type=pa.int64()), get["n"].take(take), get["at"].take(take), pa.array(out["low"], type=pa.int32()), pa.array(out["grid"], type=pa.int32()), pa.array(out["start"], type=pa.int64()), pa.array(out["body"], type=pa.binary())], ["doc_id", "h", "key", "c", "n", "at", "low", "grid", "start", "body"])
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                get = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+                body = get["body"].to_pylist()
+                size = np.array([len(x) for x in body], dtype=np.int64)
+                grid, at, start = (np.asarray(get[k]).astype(np.int64) for k in ("grid", "at", "start"))
+                i, q = (x.ravel() for x in np.meshgrid(np.arange(batch.num_rows), np.arange(4), indexing="ij"))
+                first, end = grid[i] + q * part, np.minimum(grid[i] + (q + 1) * part, grid[i] + wide)  # offsets first .. end - 1
+                base = (start - at)[i]  # offset of the body's first byte
+                a, z = np.maximum(first, base), np.minimum(end - 1, base + size[i] - least)
+                some = np.flatnonzero(a <= z)
+                i, q, first, end, base, a, z = (x[some] for x in (i, q, first, end, base, a, z))
+                cores = [body[k][x:y] for k, x, y in zip(i.tolist(), (end - 1 - base).tolist(), (first - base + least).tolist(), strict=True)]
+                own = [body[k][x:y] for k, x, y in zip(i.tolist(), (a - base).tolist(), (z - base + least).tolist(), strict=True)]
+                seeds = mix(np.asarray(get["key"]).view(_U)[i] + q.astype(_U)).tolist()
+                mark = np.fromiter((xxhash.xxh3_64_intdigest(x, k) for x, k in zip(cores, seeds, strict=True)), dtype=_U, count=len(cores))
+                c = np.fromiter((xxhash.xxh3_64_intdigest(x, k) for x, k in zip(own, (a - first).tolist(), strict=True)), dtype=_U, count=len(own))
+                take = pa.array(i)
+                yield pa.RecordBatch.from_arrays([get["doc_id"].take(take), get["h"].take(take), signed(mark), signed(c), get["n"].take(take), get["at"].take(take), pa.array(a.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(at[i] + a), pa.array(own, type=pa.binary())], ["doc_id", "h", "key", "c", "n", "at", "low", "grid", "start", "body"])
 
     chosen = rows.select("doc_id", "h", "key", "n", "at", "low", "grid", "start", "body")
     return chosen.mapInArrow(run, f"doc_id {id_type}, h long, key long, c long, n long, at long, low int, grid int, start long, body binary")
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
+def repeated_windows(shards: list[_bwt.Transform], sizes: list[np.ndarray], counts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, first and last start of the runs of windows that occur again, of strings that count once.
 
-def repeated_windows(bodies: list[bytes], keys: np.ndarray, lows: np.ndarray, counts: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each body, starts and ends of its runs of window starts that occur again at the same key and offset.
-
-    Bodies are put in shards, each shard transformed, the transforms merged.
+    sizes, counts: of each shard's strings; strings are numbered shard after shard.
     """
-    sizes = np.array([len(b) for b in bodies], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    text = np.frombuffer(b"".join(bodies), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(bodies)), sizes)
-    room = starts[owner + 1] - np.arange(len(text))
-    cuts = [0]
-    for e in starts[1:]:
-        if e - cuts[-1] >= SHARD_BYTES:
-            cuts.append(int(e))
-    if cuts[-1] != len(text):
-        cuts.append(len(text))
-    block, _ = _bwt.merge([_bwt.transform(text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], least)
-    full = np.flatnonzero(room >= least)
-    who = owner[full]
-    _, key_no = np.unique(keys, return_inverse=True)
-    offset = lows[who] + (full - starts[who])
-    group = block[full].astype(np.int64) * 512 + (offset + 256)  # offsets lie in -256 .. 255
-    if len(full) == 0:
-        return [(np.zeros(0, dtype=np.int64),) * 2 for _ in bodies]
-    own = key_no[who]
-    order = np.lexsort((own, group))
-    g, k = group[order], own[order]
-    new = np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
-    of = np.cumsum(new) - 1
-    total = np.bincount(of, counts[who][order])
-    flags = np.zeros(len(text) + 1, dtype=bool)
-    flags[full[order]] = total[of] > 1
-    a, z = _runs(flags[:-1])
-    # runs do not cross bodies: the last least - 1 positions of a body have no room
-    first = np.searchsorted(a, starts)
-    return [(a[first[i] : first[i + 1]] - starts[i], z[first[i] : first[i + 1]] - starts[i]) for i in range(len(bodies))]
+    order, common = _bwt.merge(shards, least)
+    found = [_bwt.places(s, n) for s, n in zip(shards, sizes, strict=True)]
+    first = np.cumsum([0, *(len(n) for n in sizes)])[:-1]
+    owner, offset = np.concatenate([o + a for (o, _), a in zip(found, first, strict=True)]), np.concatenate([x for _, x in found])
+    size, count = np.concatenate(sizes), np.concatenate(counts)
+    whole = size[owner] - offset >= least
+    again = _bwt.repeated(order, common, np.where(whole, count[owner], 0), least) & whole & (count[owner] == 1)
+    place = np.sort(owner[again] << 32 | offset[again])
+    new = np.concatenate(([True], place[1:] != place[:-1] + 1)) if len(place) else np.zeros(0, dtype=bool)
+    begin, end = place[new], place[np.concatenate((new[1:], [True]))] if len(place) else place
+    return begin >> 32, begin & (2**32 - 1), end & (2**32 - 1)
+
+
+def _held(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first columns, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(k)) for k in range(keys)])
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, z in itertools.pairwise(cut):
+            if held and tuple(key[:, a]) != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = tuple(key[:, a])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _merged_spans(rows: DataFrame, least: int, id_type: str) -> DataFrame:
-    """doc_id, h, start, end: the bytes of contexts seen once that windows of other contexts cover. rows: key, n, low, start, body, doc_id, h."""
-    parted = rows.repartition("key").sortWithinPartitions("key").select("doc_id", "h", "key", "n", "low", "start", "body")
-
-    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        n, start = np.asarray(t.column("n")), np.asarray(t.column("start"))
-        found = repeated_windows(t.column("body").to_pylist(), np.asarray(t.column("key")), np.asarray(t.column("low")), n, least)
-        row = np.repeat(np.arange(len(found)), [len(a) if n[i] == 1 else 0 for i, (a, _) in enumerate(found)])
-        spans = [(a, z) for i, (a, z) in enumerate(found) if n[i] == 1]
-        a = np.concatenate([x[0] for x in spans]) if spans else np.zeros(0, dtype=np.int64)
-        z = np.concatenate([x[1] for x in spans]) if spans else np.zeros(0, dtype=np.int64)
-        take = pa.array(row, type=pa.int64())
-        yield from pa.table({"doc_id": t.column("doc_id").take(take), "h": t.column("h").take(take), "start": pa.array(start[row] + a), "end": pa.array(start[row] + z - 1 + least)}).to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # whole keys up to BATCH_BYTES, a key has MOST contexts at most
-        size, last = 0, None
-        for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                key = np.asarray(batch.column(2))
-                if size >= BATCH_BYTES:
-                    change = np.flatnonzero(np.concatenate((key[:1] != last, key[1:] != key[:-1])))
-                    if len(change):
-                        if change[0]:
-                            held.append(batch.slice(0, int(change[0])))
-                        yield from solve(held)
-                        held, size = [], 0
-                        batch = batch.slice(int(change[0]))
-                held.append(batch)
-                size += batch.nbytes
-                last = key[-1]
-        if held:
-            yield from solve(held)
-
-    return parted.mapInArrow(run, f"doc_id {id_type}, h long, start long, end long")
+    """doc_id, h, start, end: the bytes of contexts seen once that windows of other contexts cover. rows: key, n, start, body, doc_id, h."""
+    total = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    groups = max(1, -(-total // GROUP_BYTES))
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), F.pmod(F.xxhash64("doc_id", "h", "start"), F.lit(SHARDS)).alias("shard"), "doc_id", "h", "n", "start", "body")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _held(batches, 2):
+            bodies = t.column("body").to_pylist()
+            last, begins = _bwt.transform(bodies).packed()
+            lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], type=pa.int32()), pa.concat_arrays(t.column(c).chunks)) for c in ("doc_id", "h", "n", "start")]
+            sizes = pa.array([[len(x) for x in bodies]], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([t.column("g").chunk(0)[:1], pa.array([last], type=pa.binary()), pa.array([begins], type=pa.binary()), *lists, sizes], ["g", "last", "begins", "doc_id", "h", "n", "start", "sizes"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _held(batches, 1):
+            every = {c: pa.concat_arrays(t.column(c).chunks) for c in ("doc_id", "h", "n", "start", "sizes")}
+            each = lambda c: [np.asarray(every[c].slice(i, 1).flatten()) for i in range(t.num_rows)]
+            transforms = [_bwt.Transform.unpacked(a, b) for a, b in zip(t.column("last").to_pylist(), t.column("begins").to_pylist(), strict=True)]
+            string, first, last = repeated_windows(transforms, each("sizes"), each("n"), least)
+            take, start = pa.array(string), np.asarray(every["start"].flatten())[string]
+            yield pa.RecordBatch.from_arrays([every["doc_id"].flatten().take(take), every["h"].flatten().take(take), pa.array(start + first), pa.array(start + last + least)], ["doc_id", "h", "start", "end"])
+
+    made = dealt.repartition("g", "shard").sortWithinPartitions("g", "shard").mapInArrow(shards, f"g long, last binary, begins binary, doc_id array<{id_type}>, h array<long>, n array<long>, start array<long>, sizes array<long>")
+    return made.repartition("g").sortWithinPartitions("g").mapInArrow(merged, f"doc_id {id_type}, h long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
@@ -272,7 +256,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, least: int) -> DataF
     parts = [spans, _merged_spans(bodies.where(F.col("m") <= MOST), least, id_type)]
     wide = least - GRAM + 1
     hot = bodies.where(F.col("m") > MOST).withColumn("grid", F.lit(-(least - GRAM)))
-    while hot.limit(1).count():
+    while hot.limit(1).count():  # four times at most: then a range is one window, and its contexts are equal
         pieces = stage.put(_split(hot, least, wide, id_type))
         wide = -(-wide // 4)
         cores = pieces.groupBy("key").agg(F.sum("n").alias("total"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("total > 1")
@@ -292,8 +276,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     id_type = docs.schema[doc_id].dataType.simpleString()
     spans = repeated_spans(docs, doc_id, text, least)
     per_doc = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    own = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("_text"), *[docs[c].alias(f"k_{c}") for c in keep])
-    joined = own.join(per_doc, own["doc_id"].eqNullSafe(per_doc["s_id"]) & (own["h"] == per_doc["s_h"]), "left").select("doc_id", "_text", "spans", *[f"k_{c}" for c in keep])
+    own = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("_text"), *[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)])
+    joined = own.join(per_doc, own["doc_id"].eqNullSafe(per_doc["s_id"]) & (own["h"] == per_doc["s_h"]), "left").select("doc_id", "_text", "spans", *[f"k_{i}" for i in range(len(keep))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,8 +299,9 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
                 ends = np.concatenate(([0], np.cumsum(~removed)))[offsets]
                 texts = [left[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 columns = [piece.column(0), pa.array(np.diff(offsets)), pa.array(sums(removed)), pa.array(sums(begin)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, type=pa.binary())] if body else []), *(piece.column(3 + i) for i in range(len(keep)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if body else []), *[f"k_{c}" for c in keep]])
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, type=pa.binary())] if body else []), *(piece.column(3 + i) for i in range(len(keep)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if body else []), *[f"k_{i}" for i in range(len(keep))]])
 
-    kept_types = "".join(f", `k_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kept_types = "".join(f", k_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if body else ''}{kept_types}")
-    return out.select(*[c for c in out.columns if not c.startswith("k_")], *[F.col(f"k_{c}").alias(c) for c in keep])
+    results = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if body else [])]
+    return out.select(*results, *[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))])

@@ -150,13 +150,12 @@ def removed_brute(texts, least):
     return out
 
 
-@pytest.mark.parametrize(("most", "batch"), [(2048, 1 << 20), (2, 1 << 14)])
-def test_suffix_dedup(spark, docs, none, monkeypatch, most, batch):
+@pytest.mark.parametrize(("most", "group"), [(2048, 1 << 20), (2, 1 << 13)])
+def test_suffix_dedup(spark, docs, none, monkeypatch, most, group):
     from foliant.llm import suffix_dedup as s
 
     monkeypatch.setattr(s, "MOST", most)
-    monkeypatch.setattr(s, "BATCH_BYTES", batch)
-    monkeypatch.setattr(s, "SHARD_BYTES", batch // 4)
+    monkeypatch.setattr(s, "GROUP_BYTES", group)
     rng = random.Random(3)
     passage = prose(rng, 60)
     more = [(200 + i, prose(rng, 10) + " " + passage[i % 5 :] + " " + prose(rng, 12), "en", "s", 0) for i in range(25)]
@@ -169,19 +168,35 @@ def test_suffix_dedup(spark, docs, none, monkeypatch, most, batch):
     assert s.suffix_dedup(none).count() == 0
 
 
-def test_transforms_merge():
+def test_transforms_merge(monkeypatch):
+    """Transforms, their places and the merged order with its common prefixes against sorted suffixes; the merge sorts none."""
     import numpy as np
 
     from foliant.llm import _bwt
 
     rng = np.random.RandomState(0)
-    for trial in range(20):
-        n, depth = rng.randint(20, 300), int(rng.choice([8, 11, 16, 40]))
-        text = rng.randint(0, 2 + trial % 3, n).astype(np.uint8)
-        block, order = _bwt.merge([_bwt.transform(text[a:b]) for a, b in ((0, n // 3), (n // 3, n))], depth)
-        strings = {i: bytes(text[i : i + depth]) for i in range(n - depth + 1)}
-        assert [strings[i] for i in order if i in strings] == sorted(strings.values())
-        assert len({(strings[i], block[i]) for i in strings}) == len(set(strings.values())) == len({block[i] for i in strings})
+    for trial in range(80):
+        strings = [bytes(rng.choice([0, 97, 98, 255], rng.randint(0, 60), p=[0.1, 0.5, 0.3, 0.1] if trial % 2 else [0, 1, 0, 0]).astype(np.uint8)) for _ in range(rng.randint(1, 9))]
+        cut = sorted(rng.randint(0, len(strings) + 1, 2))
+        parts = [x for x in (strings[: cut[0]], strings[cut[0] : cut[1]], strings[cut[1] :]) if x]
+        depth, shards, rows = int(rng.choice([1, 2, 3, 8, 20, 100])), [_bwt.transform(x) for x in parts], []
+        for part, shard in zip(parts, shards, strict=True):
+            suffixes = sorted((([c + 1 for c in x[j:]] + [0], i, j) for i, x in enumerate(part) for j in range(len(x) + 1)), key=lambda s: s[:2])
+            assert shard.last.tolist() == [part[i][j - 1] + 1 if j else 0 for _, i, j in suffixes]
+            owner, offset = _bwt.places(_bwt.Transform.unpacked(*shard.packed()), np.array([len(x) for x in part]))
+            assert list(zip(owner.tolist(), offset.tolist(), strict=True)) == [(i, j) for _, i, j in suffixes]
+            rows += [s for s, _, _ in suffixes]
+        monkeypatch.setattr(_bwt, "transform", None)
+        order, common = _bwt.merge(shards, depth)
+        monkeypatch.undo()
+        merged = [rows[i][:depth] for i in order]
+        assert merged == sorted(merged) and sorted(order.tolist()) == list(range(len(rows)))
+        for x, y, k in zip(merged, merged[1:], common[1:].tolist(), strict=False):
+            same = next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), depth)
+            assert k == same or (x == y and 0 in x)
+        again = _bwt.repeated(order, common, np.array([len(r) > depth for r in rows]).astype(int), depth)
+        counts = Counter(tuple(r[:depth]) for r in rows if len(r) > depth)
+        assert all(again[i] == (counts[tuple(r[:depth])] > 1) for i, r in enumerate(rows) if len(r) > depth)
 
 
 # ------------------------------------------------------------------ 5
