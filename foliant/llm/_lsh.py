@@ -84,19 +84,22 @@ class Sets:
 
     hashed: 64-bit hashes, comparable everywhere. exact: numbers that are
     equal for equal shingles of one call, told apart by their characters.
-    screen: whether the hashes are the cheaper way and sort out pairs first.
+    certain: given where the hashes are the cheaper way and sort out pairs
+    first; whether a text's hashes name its shingles one to one, so that two
+    such texts need no exact sets.
     """
 
     hashed: Callable[[pa.Array], list[np.ndarray]]
     exact: Callable[[pa.Array], list[np.ndarray]]
-    screen: bool = False
+    certain: Callable[[pa.Array], np.ndarray] | None = None
 
 
 def similar_pairs(column: pa.Array, left: np.ndarray, right: np.ndarray, sets: Sets, percent: int) -> np.ndarray:
     """Whether 100 * intersection >= percent * union of texts left[k] and right[k] of a column; never by hashes alone."""
     good = np.ones(len(left), dtype=bool)
-    for make in (sets.hashed, sets.exact) if sets.screen else (sets.exact,):
-        at = np.flatnonzero(good)
+    sure = sets.certain(column) if sets.certain else None
+    for make in (sets.exact,) if sure is None else (sets.hashed, sets.exact):
+        at = np.flatnonzero(good if make is sets.hashed or sure is None else good & ~(sure[left] & sure[right]))
         if not len(at):
             break
         used, where = np.unique(np.concatenate((left[at], right[at])), return_inverse=True)
@@ -247,9 +250,9 @@ def across(members: DataFrame, sets: Sets, percent: int, least_share: float) ->
                     if comps[y] == comps[x]:
                         continue
                     if own is None:
-                        own = (sets.hashed if sets.screen else sets.exact)(text.slice(at, to - at))
+                        own = (sets.hashed if sets.certain else sets.exact)(text.slice(at, to - at))
                     shared, union = jaccard_parts(own[x], own[y])
-                    if 100 * shared >= percent * union and (not sets.screen or similar_pairs(text.slice(at, to - at), np.array([x]), np.array([y]), sets, percent)[0]):
+                    if 100 * shared >= percent * union and (not sets.certain or similar_pairs(text.slice(at, to - at), np.array([x]), np.array([y]), sets, percent)[0]):
                         found.append((ids[at + x], ids[at + y]))
                         comps[comps == comps[y]] = comps[x]
         both = np.array(found, dtype=np.int64).reshape(-1, 2)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import _SPACE_TABLE, MULTIPLIERS, Stage, carried, mix, powers, signed, slices, string_buffer
+from foliant.llm._common import _SPACE_TABLE, MULTIPLIERS, Stage, carried, mix, signed, slices, string_buffer
 from foliant.llm._lsh import Sets, band_keys, binned_minima, similar_components
 
 PIECE_BYTES = 1 << 20
@@ -35,40 +35,66 @@ BANDS, ROWS = 20, 4
 LEAST_SHARE = 0.55  # of equal minima; at similarity 0.8 more than five standard deviations below
 SEEN = 200_000  # line hashes that a worker remembers, so as not to sign equal lines again
 _U = np.uint64
-_POINT_VALUES = mix(np.arange(1 << 16, dtype=_U) + MULTIPLIERS[8])
+NARROW = 8  # code points below 256 that a 64-bit number holds
 
 
-def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character shingles, repeats included, and the line of each; every non-empty line has one at least."""
+def _packed(points: np.ndarray, width: int) -> np.ndarray:
+    """The number of width bytes from each position on."""
+    out, have = points.astype(_U), 1
+    while have < width:
+        step = min(have, width - have)
+        out = out[: len(out) - step] | (out[step:] >> _U(8 * (have - step)) << _U(8 * have))
+        have += step
+    return out
+
+
+def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit values of all character shingles, repeats included, the line of each, and whether a line's are free of hashing.
+
+    A shingle of 8 code points below 256 at most is its own value (mixed one
+    to one); others are hashed. Every non-empty line has a shingle at least.
+    """
     data, offsets = string_buffer(column)
-    starts_at = (data & 0xC0) != 0x80
-    upto = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(starts_at, out=upto[1:])
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    offsets = upto[offsets]
+    if len(points) < len(data):
+        upto = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=upto[1:])
+        offsets = upto[offsets]
     sizes = np.diff(offsets)
-    value = mix(points.astype(_U) + MULTIPLIERS[8]) if points.max(initial=0) > 0xFFFF else _POINT_VALUES[points]
-    prefix = np.zeros(len(points) + 1, dtype=_U)
-    np.cumsum(value * powers(len(points)), out=prefix[1:])
+    n = max(len(points) - width + 1, 0)
+    wide = points > 0xFF if width <= NARROW else np.ones(len(points), dtype=bool)
+    some_wide = bool(wide.any())
+    value = _packed(points & 0xFF, width) if n and width <= NARROW else np.zeros(n, dtype=_U)
+    bad = np.zeros(len(points) + 1, dtype=np.int64)
+    if some_wide:
+        np.cumsum(wide, out=bad[1:])
+        at = np.flatnonzero(bad[width:] > bad[:n])
+        hashed = np.zeros(len(at), dtype=_U)
+        for k in range(width):
+            hashed = mix(hashed * MULTIPLIERS[8] + points[at + k])
+        value[at] = hashed
     counts = np.where(sizes >= width, sizes - width + 1, 0)
-    inside = np.ones(max(len(points) - width + 1, 0), dtype=bool)  # shingles of one line
+    inside = np.ones(n, dtype=bool)  # shingles of one line
     for k in range(1, width):
         cross = offsets[1:-1] - k
-        inside[cross[(cross >= 0) & (cross < len(inside))]] = False
-    hashes = ((prefix[width:] - prefix[: len(inside)]) * powers(len(points), True)[: len(inside)])[inside] if len(inside) else np.zeros(0, dtype=_U)
-    owner = np.repeat(np.arange(len(sizes)), counts)
+        inside[cross[(cross >= 0) & (cross < n)]] = False
+    value, owner = mix(value[inside]), np.repeat(np.arange(len(sizes)), counts)
     short = np.flatnonzero((sizes > 0) & (sizes < width))
-    if len(short):
-        whole = [(value[offsets[i] : offsets[i + 1]] * MULTIPLIERS[: sizes[i]]).sum(dtype=_U) for i in short]
-        owner = np.concatenate((owner, short))
-        hashes = np.concatenate((hashes, np.array(whole, dtype=_U)))
+    if len(short):  # the whole line and its length
+        own = np.array([hash_points(points[offsets[i] : offsets[i + 1]]) for i in short.tolist()], dtype=_U)
+        owner, value = np.concatenate((owner, short)), np.concatenate((value, own))
         order = np.argsort(owner, kind="stable")
-        owner, hashes = owner[order], hashes[order]
-    return hashes, owner
+        owner, value = owner[order], value[order]
+    certain = (bad[offsets[1:]] == bad[offsets[:-1]]) & (sizes >= width)
+    return value, owner, certain
+
+
+def hash_points(points: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(points.tobytes(), len(points))
 
 
 def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
-    hashes, owner = line_shingles(column, width)
+    hashes, owner, _ = line_shingles(column, width)
     cut = np.searchsorted(owner, np.arange(len(column) + 1))
     out = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -110,8 +136,8 @@ def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     # a text that ends in a line feed has an empty last line; starts and ends still pair up, text by text
     row = np.repeat(np.flatnonzero(some), np.diff(np.searchsorted(breaks, offsets))[some] + 1)
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    words = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(~_SPACE_TABLE[data], out=words[1:])
+    words = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(~_SPACE_TABLE[data], out=words[1:], dtype=np.int32)
     keep = words[ends] > words[starts]
     starts, ends, row, number = starts[keep], ends[keep], row[keep], number[keep]
     inside = np.zeros(len(data) + 1, dtype=np.int8)
@@ -144,7 +170,7 @@ def _signed_lines(docs: DataFrame, doc_id: str, text: str, width: int, id_type:
                 fresh[new] = True
                 parts, owners, at = [], [], 0
                 for sub in slices(pa.RecordBatch.from_arrays([lines.take(pa.array(new))], ["line"]), "line", PIECE_BYTES // 4):
-                    hashes, owner = line_shingles(sub.column(0), width)
+                    hashes, owner, _ = line_shingles(sub.column(0), width)
                     parts.append(hashes)
                     owners.append(owner + at)
                     at += sub.num_rows
@@ -203,7 +229,7 @@ def fuzzy_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return checked[0]
 
     items = rows.where(F.size("bands") > 0).select("id", "bands", "signature")
-    sets = Sets(lambda column: sets_of(column, width), lambda column: exact_sets(column, width), screen=True)
+    sets = Sets(lambda column: sets_of(column, width), lambda column: exact_sets(column, width), lambda column: line_shingles(column, width)[2])
     found = similar_components(stage, items, texts, sets, percent, LEAST_SHARE, stage.rows(rows) * BANDS)
     # links hold for the line that was compared; one of the same id but another check is only like itself
     found = stage.put(found.withColumnRenamed("node", "id").join(checked[0].select("id", F.col("check").alias("of")), "id"))

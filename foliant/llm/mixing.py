@@ -8,22 +8,28 @@ the k-th block of its stream. As the points fill the unit interval evenly,
 any prefix of the schedule is mixed nearly to the targets.
 
 All ranks and stream positions are two-level prefix sums: totals of hash
-ranges (or slot ranges) are summed over the few ranges of each source, then
-rows within a range; so a source with a third of all rows is spread over many
-tasks. Only DataFrame functions are used.
+ranges (or slot ranges) are summed over the ranges of each source, then rows
+within a range. There are about as many ranges as rows in a range (the square
+root of all rows), so a source with a third of all rows is spread over many
+tasks. One row a source, no more, meets in one task (``source_targets``). Only
+DataFrame functions are used.
 
 Defined results: null and blank texts have no words and are never taken; null
-is a source of its own, ordered last; repeated rows are separate texts; rows
-with equal ids order by size; an empty table gives an empty table; clashing
-extra columns are not read.
+is a source of its own, ordered last; null ids are ids; repeated rows (equal
+source, id and text) are separate texts, numbered, and which of them has which
+number changes no result, so the result does not depend on how the table is
+split; very long texts are counted whole; an empty table gives an empty table;
+columns named in ``keep`` are carried (``carried`` names those that clash).
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm._common import Stage, n_words
+from foliant.llm._common import Stage, carried, n_words
 
 #: The golden ratio's fraction as a 62-bit fixed-point number: floor(2 ** 62 * (sqrt(5) - 1) / 2).
 GOLDEN_62 = 2850178443634021189
@@ -97,14 +103,17 @@ def slots(spark: SparkSession, n: int, shares: DataFrame, parts: int) -> DataFra
     """slot, source_no, slot_rank: the schedule's n slots, each with its rank among its source's.
 
     shares: source_no, share_from, share_to; a source is found by the cell of
-    the unit interval, so that only an equi-join of a few rows a slot is made.
+    the unit interval, so that only an equi-join of a few rows a slot is made;
+    there are more cells than sources.
     """
-    cell = lambda x: F.least(F.lit(CELLS - 1), F.floor(x * CELLS)).cast("int")
+    n_sources = shares.count()
+    cells_in_all = max(CELLS, 4 * n_sources)
+    cell = lambda x: F.least(F.lit(cells_in_all - 1), F.floor(x * cells_in_all)).cast("int")
     cells = shares.where("share_to > share_from").withColumn("cell", F.explode(F.sequence(cell(F.col("share_from")), cell(F.col("share_to")))))
     points = spark.range(0, n, 1, parts).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point")).withColumn("cell", cell(F.col("point")))
     # a row for each source and for each cell: the sources' number is what bounds it
-    found = points.join(F.broadcast(cells) if shares.count() <= 100_000 else cells, "cell").where("point >= share_from and point < share_to")
-    chunk = max(65_536, n // CELLS)
+    found = points.join(F.broadcast(cells) if n_sources <= 100_000 else cells, "cell").where("point >= share_from and point < share_to")
+    chunk = max(2048, isqrt(n))
     return before_in_range(found.select("slot", "source_no"), "source_no", F.floor(F.col("slot") / chunk), [F.col("slot")], F.lit(1), "slot_rank")
 
 
@@ -117,15 +126,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """
     spark = docs.sparkSession
     stage = Stage(spark)
-    sizes = stage.put(docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), n_words(docs[text]).alias("size"), *[docs[c].alias(f"k_{c}") for c in keep]).withColumn("row", F.monotonically_increasing_id()))
+    sizes = stage.put(docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), n_words(docs[text]).alias("size"), F.xxhash64(docs[source], docs[doc_id], docs[text]).alias("ident"), F.monotonically_increasing_id().alias("row"), *[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)]))
     targets = stage.put(source_targets(sizes, weights, percent, max_repeats).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
-    total = targets.agg(F.sum("target"), F.count(F.lit(1))).first()
-    count = sizes.count()
-    known = sizes.join(F.broadcast(targets) if total[1] <= 100_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    n = round((total[0] or 0.0) / block_words)
-    ranges = max(16, count // 20_000)
-    hashed = known.where("size > 0").withColumn("hash", F.xxhash64(F.lit("order"), "doc_id"))
-    streamed = before_in_range(hashed, "source_no", F.pmod(F.shiftrightunsigned("hash", 1), F.lit(ranges)), [F.col("hash"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("row")], F.col("size"), "start")
+    total, n_bytes = targets.agg(F.sum("target"), F.sum(F.octet_length(F.col("source").cast("string")))).first()
+    few = stage.rows(targets) <= 100_000 and (n_bytes or 0) <= 1 << 24
+    known = sizes.join(F.broadcast(targets) if few else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    n = round((total or 0.0) / block_words)
+    # equal rows are numbered, by the parts of the table they lie in and then within; others have number 0
+    several = stage.put(sizes.groupBy("ident").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ident"))
+    used = known.where("size > 0")
+    numbered = used.join(stage.small(several), "ident", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    if stage.rows(several):
+        again = stage.put(used.join(stage.small(several), "ident", "left_semi"))
+        numbered = numbered.unionByName(before_in_range(again, "ident", F.shiftright("row", 33), [F.col("row")], F.lit(1), "copy").withColumn("copy", F.col("copy").cast("long")))
+    hashed = numbered.withColumn("hash", F.xxhash64(F.lit("order"), "ident", "copy"))
+    ranges = max(16, isqrt(stage.rows(sizes)))
+    streamed = before_in_range(hashed, "source_no", F.pmod(F.shiftrightunsigned("hash", 1), F.lit(ranges)), [F.col("hash"), F.col("ident"), F.col("copy")], F.col("size"), "start")
     passes = F.sequence(F.lit(0), F.lit(max_repeats - 1))
     spans = streamed.select("row", "doc_id", "source_no", "size", "start", "source_size", F.explode(passes).alias("turn"))
     spans = spans.withColumn("start", F.col("start") + F.col("turn") * F.col("source_size"))
@@ -138,4 +154,5 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         return named.select("slot", "source", "slot_rank", "doc_id", (edges[0] - F.col("start")).alias("from_word"), (edges[1] - edges[0]).alias("n_words"))
     taken = chosen.groupBy("row").agg(F.sum(edges[1] - edges[0]).alias("taken"))
     out = known.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"k_{c}").alias(c) for c in keep])
+    results = ["doc_id", "size", "source_size", "target", "taken"]
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).select(*results, *[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))])

@@ -7,24 +7,30 @@ examples, the others are live-looking. Spans of the base kinds always stay;
 spans of the wide kinds (random-looking strings) are added where they are
 live-looking.
 
-Matches are located without Python: the pieces between the matches give the
-offsets. The text is scanned once; only spans and value hashes go on.
+Matches are located without Python: the pieces between the matches of a text
+give their offsets. The text is scanned once; only spans and value hashes go
+on. Offsets are running sums over the matches of a row and kind, and a wide
+span is dropped where a base span overlaps it, both by windows over the row's
+matches, so the work grows with the number of matches (and a sort of them).
 Frequencies are counted per (value, owner, repository), then per (value,
 owner), then per value, each combined before its shuffle, so that a value that
-a third of all rows hold is no hot group; the join back splits such a value.
+a third of all rows hold is no hot group; the counts are written before they
+are joined back, so that such a value is split.
 
 Defined results: null and empty texts have no spans; offsets are code points,
 end exclusive; null owners and repositories count as one each; repeated rows
-are scanned row by row and count once as the same repository; an empty table
-gives an empty table; extra columns are not read unless named in ``keep``.
+are scanned row by row and count once as the same repository; of spans that
+start together the earlier kind comes first; very long texts are scanned
+whole; an empty table gives an empty table; extra columns are not read unless
+named in ``keep`` (``carried`` names those that clash).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm._common import Stage
+from foliant.llm._common import Stage, carried
 
 #: Kinds, patterns, the group that holds the value, its least length.
 KEYWORDS = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
@@ -34,23 +40,33 @@ KINDS = (
     ("hex", r"([0-9a-f]{16,})", 1, 16),  # the same matches as a run of any length, filtered
 )
 WIDE_KINDS = (("random", r"([A-Za-z0-9_-]{24,})", 1, 24),)
-SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+MATCH = "array<struct<kind:int,n:int,gap:int,size:int,value:string>>"
+SPAN = "array<struct<start:int,kind:int,end:int,live:boolean,n_repos:bigint,n_owners:bigint>>"
 
 
-def located(text: Column, pattern: str, group: int, kind: int, least: int) -> Column:
-    """The leftmost non-overlapping matches, with value hashes; failing ones dropped."""
+def matches(text: Column, pattern: str, group: int, kind: int) -> Column:
+    """The leftmost non-overlapping matches in order: characters since the one before, their own, and the value."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-
-    def add(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
-        end = start + F.length(row["all"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), row["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).cast(SPAN).alias("found"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-    found = F.aggregate(rows, zero, add, lambda s: F.filter(s["found"], lambda x: F.length(x["value"]) >= least))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    found = F.transform(rows, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("size"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), found.cast(MATCH)).otherwise(F.array().cast(MATCH))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """row, repo, owner, start, kind, end, value_hash: the spans of rows' matches, failing ones and overlapped wide ones dropped."""
+    each = rows.where(F.size("matches") > 0).select("row", "repo", "owner", F.explode("matches").alias("m")).select("row", "repo", "owner", "m.*")
+    upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    each = each.withColumn("end", upto.cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    kinds = (*KINDS, *WIDE_KINDS)
+    base = F.col("kind") < len(KINDS)
+    passed = F.length("value") >= F.element_at(F.array(*[F.lit(k[3]) for k in kinds]), F.col("kind") + 1)
+    each = each.where(passed & (base | random_looking(F.col("value")))).select("row", "repo", "owner", "start", "kind", "end", F.md5("value").alias("value_hash"))
+    # both frames only grow (one that shrinks would be computed again for each row)
+    ahead, back = Window.partitionBy("row").orderBy("start", "kind"), Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
+    ended = F.max(F.when(base, F.col("end"))).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumns({"ended": ended, "begun": begun})
+    return each.where(base | ((F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("begun") >= F.col("end"), F.lit(True))))).drop("ended", "begun")
 
 
 def random_looking(value: Column) -> Column:
@@ -74,18 +90,13 @@ def secret_scan(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner
     """keep columns, base_spans, all_spans (arrays of start, kind, end, live) and counts, a row for each row of docs."""
     stage = Stage(docs.sparkSession)
     body = F.coalesce(docs[text], F.lit(""))
-    base = F.concat(*[located(body, p, g, i, n) for i, (_, p, g, n) in enumerate(KINDS)])
-    wide = F.concat(*[located(body, p, g, len(KINDS) + i, n) for i, (_, p, g, n) in enumerate(WIDE_KINDS)])
-    scanned = docs.select(docs[repo].cast("string").alias("repo"), docs[owner].cast("string").alias("owner"), base.alias("base"), wide.alias("wide"), *[docs[c].alias(f"k_{c}") for c in keep])
-    apart = lambda x: random_looking(x["value"]) & ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    spans = F.transform(F.array_sort(F.concat("base", F.filter("wide", apart))), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.md5(x["value"]).alias("value_hash")))
-    rows = stage.put(scanned.withColumn("spans", spans).drop("base", "wide").withColumn("row", F.monotonically_increasing_id()))
-    each = rows.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("span")).select("row", "repo", "owner", "span", F.col("span.value_hash").alias("value_hash"))
-    known = each.join(ownership(each.select("value_hash", "owner", "repo")), "value_hash")
-    live = F.when(F.col("span.kind") < len(KINDS), F.col("n_owners") <= max_owners).otherwise(F.col("n_owners") <= most_random_owners)
-    known = known.withColumn("span", F.struct("span.start", "span.kind", "span.end", live.alias("live"), "n_repos", "n_owners")).where((F.col("span.kind") < len(KINDS)) | live)
-    per_row = known.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("all_spans"))
-    out = rows.select("row", *[f"k_{c}" for c in keep]).join(per_row, "row", "left")
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,n_repos:bigint,n_owners:bigint>>")
-    out = out.withColumn("all_spans", F.coalesce("all_spans", empty)).withColumn("base_spans", F.filter("all_spans", lambda x: x["kind"] < len(KINDS)))
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "base_spans", "all_spans")
+    every = F.concat(*[matches(body, p, g, i) for i, (_, p, g, _) in enumerate((*KINDS, *WIDE_KINDS))])
+    rows = stage.put(docs.select(docs[repo].cast("string").alias("repo"), docs[owner].cast("string").alias("owner"), every.alias("matches"), F.monotonically_increasing_id().alias("row"), *[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)]))
+    spans = stage.put(located(rows))
+    known = spans.join(stage.put(ownership(spans.select("value_hash", "owner", "repo"))), "value_hash")
+    live = F.when(F.col("kind") < len(KINDS), F.col("n_owners") <= max_owners).otherwise(F.col("n_owners") <= most_random_owners)
+    known = known.select("row", "kind", F.struct("start", "kind", "end", live.alias("live"), "n_repos", "n_owners").alias("span")).where((F.col("kind") < len(KINDS)) | F.col("span.live"))
+    per_row = known.groupBy("row").agg(F.array_sort(F.collect_list("span")).cast(SPAN).alias("all_spans"))
+    out = rows.select("row", *[f"k_{i}" for i in range(len(keep))]).join(per_row, "row", "left").withColumn("all_spans", F.coalesce("all_spans", F.array().cast(SPAN)))
+    out = out.withColumn("base_spans", F.filter("all_spans", lambda x: x["kind"] < len(KINDS)))
+    return out.select(*[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, ("base_spans", "all_spans")))], "base_spans", "all_spans")

@@ -5,11 +5,15 @@ White space is a safe boundary: the tokenizers accepted here (read from
 tokenizer.json) drop it before merging, and no token, special string or
 Unicode composition spans it. So a text's count is the sum over its
 white-space separated chunks. Only lengths leave the batch function; chunks
-that repeat are encoded once, in a memo of bounded size.
+that repeat are encoded once, in a memo of bounded size. A chunk is never cut,
+whatever its length (a cut inside it could change the count), and under
+tokenizers that fail this test a text is encoded whole. The tokenizer's file
+is sent to the executors with the job: its path need exist on the driver only.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated
-rows are counted row by row; an empty table gives an empty table; extra
-columns are ignored unless named in ``keep``.
+rows are counted row by row; an empty table gives an empty table; no result
+depends on an order, so there are no ties; extra columns are ignored unless
+named in ``keep`` (``carried`` names those that clash).
 """
 
 from __future__ import annotations
@@ -23,17 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import slices, string_buffer, word_bounds
+from foliant.llm._common import carried, slices, string_buffer, word_bounds
 
 PIECE_BYTES = 1 << 22
 MEMO_CHUNKS = 400_000
 MEMO_BYTES = 64  # longer chunks are seldom seen again
 
 
-def drops_spaces(path: str) -> bool:
-    """Whether white space is a safe boundary of the tokenizer in this file."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def drops_spaces(text: str) -> bool:
+    """Whether white space is a safe boundary of the tokenizer that this tokenizer.json describes."""
+    spec = json.loads(text)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
     first = steps[0] if steps else {}
     removed = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "\\s" in str(first.get("pattern"))
@@ -41,16 +44,16 @@ def drops_spaces(path: str) -> bool:
 
 
 class Counter:
-    """Counts tokens of texts; one per Python worker."""
+    """Counts tokens of texts by the text of a tokenizer.json; one per Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunked = drops_spaces(path)
+        self.chunked = drops_spaces(text)
         self.memo: dict[bytes, int] = {}
 
     def lengths(self, texts: list[str]) -> list[int]:
@@ -96,20 +99,23 @@ class Counter:
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 2048) -> DataFrame:
     """keep columns with n_bytes, n_tokens and over_limit (n_tokens > limit), one row for each row of docs.
 
-    tokenizer: path of a tokenizer.json that every executor can open.
+    tokenizer: path of a tokenizer.json on the driver.
     """
-    kept = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
-    names = list(keep)
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: a few MB
+    n = len(keep)
+    kept = docs.select(*[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)], docs[text].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
             for piece in slices(batch, "_text", PIECE_BYTES):
-                counter = counter or Counter(tokenizer)
-                column = piece.column(len(names))
+                counter = counter or Counter(spec.value)
+                column = piece.column(n)
                 _, offsets = string_buffer(column)
-                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(names))), pa.array(np.diff(offsets)), pa.array(counter.count(column))], [*names, "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(n)), pa.array(np.diff(offsets)), pa.array(counter.count(column))], [*(f"k_{i}" for i in range(n)), "n_bytes", "n_tokens"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = kept.mapInArrow(run, f"{schema}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    schema = "".join(f"k_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    out = kept.mapInArrow(run, f"{schema}n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    results = ["n_bytes", "n_tokens", "over_limit"]
+    return out.select(*[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))], *results)

@@ -5,13 +5,18 @@ Features are the presence of hashed words and of their 4- and 5-byte starts
 logistic(threshold_k - w.x) with one weight vector for all ordered thresholds;
 the output is the expected grade. It is fitted on at most ``max_per_grade``
 labelled texts of each grade, the ones with the smallest id hashes; features
-are selected by a z score (more frequent above grade 0) on that sample. Scoring covers every
-text whole, in Arrow batches, with a table of 2 ** 18 weights.
+are selected by a z score (more frequent above grade 0) on that sample, in a
+pass of its own, so that at most ``most_features`` numbers a sampled text reach
+the driver. Grades are 0 to ``top_grade``; higher ones count as that. Scoring
+covers every text whole, in Arrow batches, with a table of 2 ** 18 weights.
 
 Defined results: null and empty texts have no features and get the grade the
-thresholds alone give; with no labelled texts of two grades at least every
-severity is 0; repeated rows are scored alike; an empty table gives an empty
-table; extra columns are ignored unless named in ``keep``.
+thresholds alone give; without labels above grade 0 every severity is 0, with
+none of grade 0 every text's is 1; null and negative grades and null ids label nothing; a text that
+is labelled twice, or whose id several texts have, counts each time; of labels
+with equal id hashes the lesser id comes first; repeated rows are scored alike;
+very long texts are read whole; an empty table gives an empty table; extra
+columns are ignored unless named in ``keep`` (``carried`` names those that clash).
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm._common import _LOWER_TABLE, MULTIPLIERS, prefix_sums, slices, span_hash, string_buffer
+from foliant.llm._common import _LOWER_TABLE, MULTIPLIERS, Stage, carried, prefix_sums, slices, span_hash, string_buffer
 
 BITS = 18
 PIECE_BYTES = 1 << 22
@@ -76,23 +81,14 @@ class Model:
         return np.bincount(pairs >> BITS, self.weights[pairs & ((1 << BITS) - 1)], minlength=len(column))
 
 
-def fit(row: np.ndarray, number: np.ndarray, grade: np.ndarray, most_features: int = 4096, decay: float = 1e-4, steps: int = 400, rate: float = 0.1) -> Model:
+def fit(row: np.ndarray, number: np.ndarray, grade: np.ndarray, chosen: np.ndarray, decay: float = 1e-4, steps: int = 400, rate: float = 0.1) -> Model:
     """Maximum likelihood with an L2 penalty, by Adam over the whole sample.
 
-    row, number: distinct pairs; grade: of each row, 0 and up.
+    row, number: distinct pairs; grade: of each row, 0 and up, 0 and another one
+    at least; chosen: the features that have weights.
     """
-    n, top = len(grade), int(grade.max(initial=0))
-    weights = np.zeros(1 << BITS)
-    if top == 0 or not (grade == 0).any():
-        return Model(weights, np.full(max(top, 1), 50.0 if top == 0 else -50.0))
-    high = grade > 0
-    seen = np.bincount(number, minlength=1 << BITS).astype(float)
-    seen_high = np.bincount(number[high[row]], minlength=1 << BITS).astype(float)
-    share = high.mean()
-    z = (seen_high - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    z[seen < 4] = 0
-    chosen = np.argsort(-z, kind="stable")[:most_features]  # marks of a grade above 0 only: long clean texts gather nothing
-    chosen = chosen[z[chosen] > 6.5]
+    n, top = len(grade), int(grade.max())
+    weights, high = np.zeros(1 << BITS), grade > 0
     index = np.full(1 << BITS, -1, dtype=np.int64)
     index[chosen] = np.arange(len(chosen))
     inside = index[number] >= 0
@@ -134,11 +130,25 @@ def fit(row: np.ndarray, number: np.ndarray, grade: np.ndarray, most_features: i
     return model
 
 
-def train(docs: DataFrame, graded: DataFrame, doc_id: str = "doc_id", text: str = "text", max_per_grade: int = 3000) -> Model:
-    """graded: doc_id, grade. Only feature numbers of the bounded sample reach the driver."""
-    labels = graded.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade")).where("grade is not null and _id is not null")
-    first = labels.withColumn("_n", F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_n") <= max_per_grade)
-    rows = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).join(F.broadcast(first.drop("_n")), "_id").select("grade", "_text")
+def sampled(labels: DataFrame, max_per_grade: int) -> DataFrame:
+    """_id, grade of the labels with the smallest id hashes, max_per_grade of each grade at most.
+
+    A cut of the hashes that leaves twice as many as asked comes first, so
+    that no grade is ranked whole in one task.
+    """
+    hashed = labels.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("_id"), 1))
+    cuts = labels.groupBy("grade").agg((F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(2.0 * max_per_grade + 100) / F.count(F.lit(1)))).alias("_cut"))
+    near = hashed.join(F.broadcast(cuts), "grade").where("_hash <= _cut")  # top_grade + 1 rows at most
+    place = F.row_number().over(Window.partitionBy("grade").orderBy("_hash", "_id"))
+    return near.withColumn("_n", place).where(F.col("_n") <= max_per_grade).select("_id", "grade")
+
+
+def train(docs: DataFrame, graded: DataFrame, doc_id: str = "doc_id", text: str = "text", max_per_grade: int = 3000, most_features: int = 4096, top_grade: int = 9) -> Model:
+    """graded: doc_id, grade. Only numbers of selected features of the bounded sample reach the driver."""
+    stage = Stage(docs.sparkSession)
+    labels = graded.select(F.col("doc_id").alias("_id"), F.least(F.col("grade").cast("int"), F.lit(top_grade)).alias("grade")).where("grade >= 0 and _id is not null")
+    first = stage.put(sampled(labels, max_per_grade))
+    rows = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).join(stage.small(first), "_id").select("grade", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,22 +159,32 @@ def train(docs: DataFrame, graded: DataFrame, doc_id: str = "doc_id", text: str
                 lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["grade", "numbers"])
 
-    found = rows.mapInArrow(run, "grade int, numbers array<int>").toArrow()
-    if found.num_rows == 0:
-        return Model(np.zeros(1 << BITS), np.array([50.0]))
-    lists = found.column("numbers").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    found = stage.put(rows.mapInArrow(run, "grade int, numbers array<int>"))
+    n, high = found.agg(F.count(F.lit(1)), F.sum((F.col("grade") > 0).cast("long"))).first()
+    if not n or not high or high == n:
+        return Model(np.zeros(1 << BITS), np.array([-50.0 if n and high == n else 50.0]))
+    share = high / n
+    seen = found.select((F.col("grade") > 0).cast("long").alias("high"), F.explode("numbers").alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("seen"), F.sum("high").alias("seen_high")).where("seen >= 4")
+    z = (F.col("seen_high") - F.col("seen") * share) / F.sqrt(F.col("seen") * (share * (1 - share)))
+    # marks of a grade above 0 only: long clean texts gather nothing
+    chosen = seen.select("number", z.alias("z")).where("z > 6.5").orderBy(F.desc("z"), "number").limit(most_features)
+    numbers = sorted(r["number"] for r in chosen.collect())
+    wanted = F.array(*[F.lit(x) for x in numbers]).cast("array<int>")
+    sample = found.select("grade", F.array_intersect("numbers", wanted).alias("numbers")).toArrow()
+    lists = pa.concat_arrays([c for c in sample.column("numbers").chunks]) if sample.num_rows else pa.array([], type=pa.list_(pa.int32()))
     sizes = np.asarray(lists.value_lengths().fill_null(0))
-    return fit(np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten()).astype(np.int64), np.asarray(found.column("grade").combine_chunks()).astype(np.int64))
+    grade = np.concatenate([np.asarray(c) for c in sample.column("grade").chunks]).astype(np.int64)
+    return fit(np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten()).astype(np.int64), grade, np.array(numbers, dtype=np.int64))
 
 
-def toxicity(docs: DataFrame, graded: DataFrame, doc_id: str = "doc_id", text: str = "text", max_per_grade: int = 3000) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic (P(grade > 0)), grade (likeliest) and toxic, a row for each row of docs.
+def toxicity(docs: DataFrame, graded: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), max_per_grade: int = 3000) -> DataFrame:
+    """doc_id, severity (expected grade), p_toxic (P(grade > 0)), grade (likeliest), toxic and the keep columns, a row for each row of docs.
 
     toxic: p_toxic at or above the cut of best F1 in the fitted sample.
     """
     model = train(docs, graded, doc_id, text, max_per_grade)
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("_text"))
+    n = len(keep)
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("_text"), *[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +192,9 @@ def toxicity(docs: DataFrame, graded: DataFrame, doc_id: str = "doc_id", text: s
                 p = model.grades(model.scores(piece.column(1)))
                 severity = np.round((p * np.arange(p.shape[1])).sum(axis=1), 6)
                 high = np.round(1 - p[:, 0], 6)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(severity), pa.array(high), pa.array(p.argmax(axis=1)), pa.array(high >= model.toxic_from)], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(severity), pa.array(high), pa.array(p.argmax(axis=1)), pa.array(high >= model.toxic_from), *(piece.column(2 + i) for i in range(n))], ["doc_id", "severity", "p_toxic", "grade", "toxic", *(f"k_{i}" for i in range(n))])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, severity double, p_toxic double, grade long, toxic boolean")
+    kept_types = "".join(f", k_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    out = rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, severity double, p_toxic double, grade long, toxic boolean{kept_types}")
+    results = ["doc_id", "severity", "p_toxic", "grade", "toxic"]
+    return out.select(*results, *[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))])

@@ -7,10 +7,12 @@ extension in the labelled data. They are fitted on at most ``max_labelled``
 labelled urls, the ones with the smallest hashes; that bound is a parameter.
 
 Defined results: null urls and urls without "://" have an empty host and path,
-match no rule, and get the trees' verdict on an empty url; repeated rows are
-judged alike; with no labelled urls, or of one class only, the verdict is that
-class's (allow if none); an empty table gives an empty table; extra columns
-are not read unless named in ``keep``.
+match no rule, and get the trees' verdict on an empty url; of rules that fit
+equally long the later in the order of (verdict, host, path) wins; repeated
+rows are judged alike; very long urls are read whole; with no labelled urls, or
+of one class only, the verdict is that class's (allow if none); an empty table
+gives an empty table; extra columns are not read unless named in ``keep``
+(``carried`` names those that clash).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import Stage, lower_ascii
+from foliant.llm._common import Stage, carried, lower_ascii
 
 #: Verdict, host, path of each rule.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -83,7 +85,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, url: str = "
     rule decides are the labelled ones.
     """
     stage = Stage(pages.sparkSession)
-    judged = pages.select(*[pages[c].alias(f"k_{c}") for c in keep], pages[url].alias("url"))
+    judged = pages.select(*[pages[c].alias(f"k_{i}") for i, c in enumerate(keep)], pages[url].alias("url"))
     judged = judged.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     if labelled is None:
@@ -107,4 +109,5 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, url: str = "
     else:
         out = out.withColumn("score", F.lit(1.0 if n and blocked == n else 0.0))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= BLOCKED_FROM, "block").otherwise("allow"))
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.round("score", 6).alias("score"))
+    names = [name for _, name in carried(keep, ("host", "path", "rule", "verdict", "score"))]
+    return out.select(*[F.col(f"k_{i}").alias(name) for i, name in enumerate(names)], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.round("score", 6).alias("score"))

@@ -373,7 +373,8 @@ def test_token_chunks():
 
     odd = ["it's <|endoftext|>x <|startoftext|>\n<|endoftext|>", "ΑΣ Σ ὈΔΥΣΣΕΎΣ", "a\u0301 \u0301b", "\u00a0x\u2003y\x85z", "日本語 text 123 4.5e6", "\x00\x01 don't'll"] * 2
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        c = Tokens(public_tokenizers.path(name))
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            c = Tokens(f.read())
         assert c.count(pa.array(odd)).tolist() == [len(e.ids) for e in c.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_operators import SCHEMA, WORD, UP, near_brute, prose, rows
 
 
@@ -46,3 +48,46 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = c.run(spark, str(tmp_path))
     assert out.count() > 10 and {"doc_id", "text", "taken", "target"} <= set(out.columns)
+
+
+def odd_documents(spark):
+    """Equal rows, ids used twice, null ids and texts, and columns named like the operators' own."""
+    rng = random.Random(21)
+    p, q, r = (prose(rng, 120, 100_000) for _ in range(3))
+    data = [(1, p, "a"), (5, p + " x", "a"), (5, q, "b"), (5, q, "b"), (None, r, None), (None, r, "b"), (7, None, "a"), (8, " ", None), (9, q + "\n" + p, "b")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    clashing = {c: F.lit(f"own {c}") for c in ("kept", "n_words", "_text", "n_removed", "Size", "taken", "first", "component_id", "row", "k_0", "c_1", "n_chars", "text_hash", "w", "h")}
+    return df.withColumns(clashing), (p, q, r)
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(1, " ".join(prose(random.Random(21), 120, 100_000).split()[20:60]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, (p, q, r) = odd_documents(spark)
+    steps = dict(c.STAGES)
+    texts = lambda df: sorted((x["doc_id"] or -1, x["text"]) for x in df.collect())
+    kept = steps["quality_rules"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and texts(kept) == sorted([(1, p), (5, p + " x"), (5, q), (5, q), (-1, r), (-1, r), (9, q + "\n" + p)])
+    lined = steps["line_dedup"](spark, kept, str(tmp_path))
+    # the first of p and "p x", of q (both rows, one document) and of r (both rows) stay
+    assert lined.columns == docs.columns and texts(lined) == sorted([(1, p), (5, q), (5, q), (-1, r), (-1, r)])
+    near = steps["near_dedup"](spark, kept, str(tmp_path))
+    assert near.columns == docs.columns and texts(near) == sorted([(1, p), (5, q), (-1, r), (9, q + "\n" + p)])
+    clean = steps["decontaminate"](spark, kept, str(tmp_path))
+    assert clean.columns == docs.columns and texts(clean) == sorted([(5, q), (5, q), (-1, r), (-1, r)])
+    mixed = steps["mix_sources"](spark, kept, str(tmp_path))
+    assert {"Size_in", "taken_in", "size", "taken", "kept"} <= set(mixed.columns)
+    assert all(x["kept"] == "own kept" and x["taken_in"] == "own taken" and x["taken"] <= 2 * x["size"] for x in mixed.collect())
+    mixed.write.parquet(str(tmp_path / "out"))
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    none = spark.createDataFrame([], SCHEMA)
+    blank = spark.createDataFrame([(1, None, "en", "s", 0), (None, None, None, None, None), (2, "", "en", "s", 0)], SCHEMA)
+    for k, (_, step) in enumerate(c.STAGES):
+        assert step(spark, none, str(tmp_path)).count() == 0
+        assert step(spark, blank, str(tmp_path)).count() == (0 if k in (0, 4) else 3)
