@@ -297,6 +297,26 @@ def rarest(stage: Stage, hot: DataFrame, bodies: DataFrame, sets: Sets, percent:
     return ranked.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("x") < F.col("y"))).select("key", "id", "component")
 
 
+def dealt(stage: Stage, groups: DataFrame) -> DataFrame:
+    """key, i, j, side, banded, id, component: the members of each group in all blocks to compare. groups: a table of key, id, component, banded.
+
+    A group of BLOCK members is one block. Of a larger one, the members of its
+    largest component need no comparison with each other: they are cut into
+    blocks, as the others are, and each block of others meets all blocks.
+    """
+    each = groups.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stage.put(each.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("main")).where("n > most"))
+    rows = groups.join(stage.small(sizes), "key")
+    one, main = F.col("n") <= BLOCK, F.col("component") == F.col("main")
+    others = F.when(one, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / BLOCK)).cast("long")
+    mains = F.when(one, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("long")
+    rows = rows.withColumns({"others": others, "mains": mains, "main": main & ~one})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(F.col("main"), F.lit(0)).otherwise(F.col("mains")))))
+    own = F.when(F.col("main"), F.col("others")).otherwise(F.lit(0)) + F.col("own")
+    return rows.select("key", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), (own > F.col("other")).cast("int").alias("side"), "banded", "id", "component")
+
+
 def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, least_share: float, n_keys: int) -> DataFrame:
     """node, component of every item that is linked with another.
 
@@ -314,7 +334,9 @@ def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFram
     star = stars.select("lo", F.col("id").alias("hi")).union(stars.select(F.col("id"), F.col("hi")))
     pairs = stage.put(star.where("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct())
     ids = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    pairs = stage.put(agreeing(pairs, items.select("id", "signature").join(stage.small(ids), "id", "left_semi").dropDuplicates(["id"]), least_share))
+    # written, as it is joined to hubs with many pairs, which are split then
+    marks = stage.put(items.select("id", "signature").join(stage.small(ids), "id", "left_semi").dropDuplicates(["id"]))
+    pairs = stage.put(agreeing(pairs, marks, least_share))
 
     # the texts that any later step may compare, read once: ends of pairs, and members of buckets that stars do not cover
     wide = stage.put(buckets.where("n > 3").select("key"))
@@ -329,19 +351,15 @@ def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFram
     if not stage.rows(opened):
         return found
     rest = stage.put(placed.select("key", "id", "component").join(stage.small(opened), "key"))
-    chosen = stage.put(rest.select("id").distinct())
-    marked = stage.put(items.select("id", "signature", "bands").join(stage.small(chosen), "id", "left_semi").dropDuplicates(["id"]))
-    groups = rest.where(F.col("n") <= MOST).select("key", "id", "component", "n", F.lit(True).alias("banded"))
+    groups = rest.where(F.col("n") <= MOST).select("key", "id", "component", F.lit(True).alias("banded"))
     hot = stage.put(rest.where(F.col("n") > MOST).select("id", "component").distinct())
     if stage.rows(hot):
-        fine = stage.put(rarest(stage, hot, bodies, sets, percent))
-        sizes = stage.put(fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "n"))
-        groups = groups.unionByName(fine.join(stage.small(sizes), "key").withColumn("banded", F.lit(False)))
-    q = F.ceil(F.col("n") / BLOCK)
-    blocks = groups.withColumn("own", F.pmod(F.xxhash64("id"), q)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), q - 1)))
-    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "banded", "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    band = F.when(F.col("banded"), F.array_position("bands", F.col("key")).cast("int") - 1).otherwise(-1)
-    more = stage.put(across(blocks.join(marked, "id").withColumn("band", band).join(bodies, "id"), sets, percent, least_share))
+        groups = groups.unionByName(rarest(stage, hot, bodies, sets, percent).withColumn("banded", F.lit(False)))
+    groups = stage.put(groups)
+    chosen = stage.put(groups.select("id").distinct())
+    marked = items.select("id", "signature", "bands").join(stage.small(chosen), "id", "left_semi").dropDuplicates(["id"])
+    marked = stage.put(marked.join(bodies, "id"))
+    more = stage.put(across(dealt(stage, groups).join(marked, "id").withColumn("band", F.when(F.col("banded"), F.array_position("bands", F.col("key")).cast("int") - 1).otherwise(-1)), sets, percent, least_share))
     if not stage.rows(more):
         return found
     return connected(stage, found.where("node <> component").toDF("a", "b").union(more))
