@@ -233,10 +233,16 @@ def _ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf"))).when(x.isNotNull(), F.lit(float("nan")))
 
 
+def _divided(x: Column, y: Column) -> Column:
+    """IEEE division: by zero it gives an infinity or NaN."""
+    zero = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).when(x.isNotNull(), F.lit(float("nan")))
+    return F.when(y == 0, F.when(F.isnan(x), x).otherwise(zero)).otherwise(x / y)
+
+
 _of_two_doubles("$divide", F.try_divide)
 _of_two_doubles("$mod", F.try_mod)
 _of_two_doubles("$pow", F.pow)
-_of_two_doubles("$log", lambda x, b: F.try_divide(_ln(x), _ln(b)))
+_of_two_doubles("$log", lambda x, b: _divided(_ln(x), _ln(b)))
 
 
 def _of_one_double(name: str, f: Callable[[Column], Column]) -> None:
@@ -246,10 +252,15 @@ def _of_one_double(name: str, f: Callable[[Column], Column]) -> None:
         return computed(f(v.double()), "double") if v.number else null()
 
 
+def _whole(x: Column, rounded: Column) -> Column:
+    """rounded, but x itself where it has no fraction (2 ** 53 and above, infinities) or is NaN; rounded is a bigint."""
+    return F.when(F.abs(x) < 2.0**53, rounded.cast("double")).otherwise(x)
+
+
 _of_one_double("$abs", F.abs)
-_of_one_double("$ceil", lambda x: F.ceil(x).cast("double"))
-_of_one_double("$floor", lambda x: F.floor(x).cast("double"))
-_of_one_double("$trunc", lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double"))
+_of_one_double("$ceil", lambda x: _whole(x, F.ceil(x)))
+_of_one_double("$floor", lambda x: _whole(x, F.floor(x)))
+_of_one_double("$trunc", lambda x: _whole(x, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))))
 _of_one_double("$sqrt", F.sqrt)
 _of_one_double("$exp", F.exp)
 _of_one_double("$ln", _ln)
@@ -622,11 +633,13 @@ def _array_to_object(spec: Any, c: Compiler) -> Value:
     if not v.array:
         return null()
     t = v.type.elementType
+    if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StringType):
+        entries = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
+        v = computed(F.transform(v.col, lambda e: F.struct(F.get(e, F.lit(0)).alias("k"), F.get(e, F.lit(1)).alias("v"))), T.ArrayType(entries))
+        t = entries
     if isinstance(t, T.StructType) and t.names == ["k", "v"] and isinstance(t["k"].dataType, T.StringType):
         unique = F.aggregate(v.col, F.create_map().cast(T.MapType(T.StringType(), t["v"].dataType)), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])).cast(T.MapType(T.StringType(), t["v"].dataType)))
         return computed(unique, T.MapType(T.StringType(), t["v"].dataType))
-    if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StringType):
-        return computed(F.map_from_entries(F.transform(v.col, lambda e: F.struct(F.get(e, F.lit(0)), F.get(e, F.lit(1))))), T.MapType(T.StringType(), T.StringType()))
     return null()
 
 

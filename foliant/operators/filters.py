@@ -10,6 +10,9 @@ import re
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +60,7 @@ def _among(field: Value, values: Any) -> Column:
 
 
 def regex(field: Value, pattern: Any, options: Any) -> Column:
-    """An unanchored search in strings; options i and s count; a pattern that does not compile matches nothing."""
+    """An unanchored search in strings; options i and s count; a pattern that does not compile where it runs matches nothing."""
     if isinstance(pattern, re.Pattern):
         options = (options or "") + ("i" if pattern.flags & re.IGNORECASE else "") + ("s" if pattern.flags & re.DOTALL else "")
         pattern = pattern.pattern
@@ -65,12 +68,18 @@ def regex(field: Value, pattern: Any, options: Any) -> Column:
         field = Value(of_kind(field.col, "STRING"), T.StringType(), True)
     if not isinstance(pattern, str) or not isinstance(options or "", str) or not field.string:
         return _no()
-    try:
-        re.compile(pattern)
-    except re.error:
-        return _no()
     flags = "".join(f for f in "is" if f in (options or ""))
-    return field.col.rlike((f"(?{flags})" if flags else "") + pattern)
+    pattern = (f"(?{flags})" if flags else "") + pattern
+    return field.col.rlike(pattern) if _compiles(pattern) else _no()
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether java.util.regex takes the pattern."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JError, IllegalArgumentException):
+        return False
+    return True
 
 
 def _exists(field: Value, flag: Any) -> Column:

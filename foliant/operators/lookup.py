@@ -5,8 +5,10 @@ key. Followed by $unwind of its own field it becomes a plain inner or left
 join, followed by a $match for an empty result a left anti join: no arrays are
 built. The pipeline form is decorrelated: equalities of $expr between foreign
 fields and let variables become join keys, the other conjuncts that use
-variables join conditions, the rest runs on the foreign side or, per local
-row, on the joined rows.
+variables join conditions, the rest runs on the foreign side. A sub-pipeline
+that uses variables by equalities only runs once for each foreign key, any
+other once for each distinct tuple of variables; the results are joined back
+by these values, never by row numbers made twice.
 """
 
 from __future__ import annotations
@@ -49,6 +51,18 @@ def _empty(dtype: T.DataType) -> Column:
     return F.array().cast(T.ArrayType(dtype, True))
 
 
+def _groupable(v: Value) -> Column:
+    """A column that is equal where v is, and that groups and joins take."""
+    return F.to_json(F.struct(v.col.alias("x"))) if v.variant or "map<" in v.type.simpleString() or "variant" in v.type.simpleString() else v.col
+
+
+def _same(pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
+
+
+MOST_BYTES = 1 << 28  # of the result of an uncorrelated sub-pipeline: every local document holds all of it
+
+
 def _output(plan: Plan, name: str, df: DataFrame, value: Column) -> Plan:
     fields = [n for n in plan.fields if n != name]
     df = df.select(*[quoted(n) for n in fields], value.alias(name), *[quoted(h) for h in plan.hidden])
@@ -115,15 +129,16 @@ def lookup(plan: Plan, spec: Any, rest: list) -> tuple[Plan, int]:
 
 
 def _by_elements(plan: Plan, name: str, local: Value, foreign: DataFrame, foreign_value: Value) -> Plan:
-    """The local field is an array: any element may match; a foreign row comes once."""
-    df = plan.df.withColumn("__row", F.monotonically_increasing_id())
+    """The local field is an array: any element may match; a foreign row comes once. Equal arrays are looked up once."""
+    df = plan.df.withColumn("__a", _groupable(local))
     element = Value(F.col("__e"), local.type.elementType, absent=True)
     a, b = _keys(element, foreign_value)
-    cells = df.select("__row", F.explode(F.coalesce(F.array_distinct(local.col), F.array(F.lit(None).cast(local.type.elementType)))).alias("__e")).select("__row", a.alias("__k"))
+    arrays = df.select("__a", local.col.alias("__x")).dropDuplicates(["__a"])
+    cells = arrays.select(F.col("__a").alias("__b"), F.explode(F.coalesce(F.array_distinct("__x"), F.array(F.lit(None).cast(local.type.elementType)))).alias("__e")).select("__b", a.alias("__k"))
     numbered = foreign.select(b.alias("__fk"), _document(foreign).alias("__doc"), F.monotonically_increasing_id().alias("__o"))
-    met = cells.join(numbered, F.col("__k").eqNullSafe(F.col("__fk"))).select("__row", "__o", "__doc").dropDuplicates(["__row", "__o"])
-    docs = met.groupBy("__row").agg(_gathered(F.col("__o"), F.col("__doc")).alias("__docs")).withColumnRenamed("__row", "__r")
-    joined = df.join(docs, F.col("__row") == F.col("__r"), "left")
+    met = cells.join(numbered, F.col("__k").eqNullSafe(F.col("__fk"))).select("__b", "__o", "__doc").dropDuplicates(["__b", "__o"])
+    docs = met.groupBy("__b").agg(_gathered(F.col("__o"), F.col("__doc")).alias("__docs"))
+    joined = df.join(docs, _same([("__a", "__b")]), "left")
     return _output(plan, name, joined, F.coalesce("__docs", _empty(foreign.schema)))
 
 
@@ -154,7 +169,7 @@ def _by_pipeline(plan: Plan, spec: dict, foreign: DataFrame, name: str) -> Plan:
 
     stages, let = list(spec["pipeline"]), spec.get("let") or {}
     names = set(let)
-    keys: list[tuple[Column, Column]] = []
+    keys: list[tuple[Column, Column, bool]] = []  # local, foreign, whether nulls meet
     conditions: list[Any] = []
     # plain filters and foreign-only conjuncts of the leading $match stages run on the foreign side
     while stages and set(stages[0]) == {"$match"}:
@@ -176,13 +191,16 @@ def _by_pipeline(plan: Plan, spec: dict, foreign: DataFrame, name: str) -> Plan:
         inner = run_stages(plan_of(foreign, plan.collections, plan.strict).numbered(), stages)
         inner = inner.numbered()
         dtype = inner.schema
-        one = inner.df.agg(_gathered(F.col(RID), F.struct(*[quoted(n).alias(n) for n in inner.fields])).alias("__docs"))
-        joined = plan.df.join(F.broadcast(one), F.lit(True), "left")  # one row
+        doc = F.struct(*[quoted(n).alias(n) for n in inner.fields])
+        size = F.sum(F.octet_length(F.to_json(doc)))
+        one = inner.df.agg(_gathered(F.col(RID), doc).alias("__all"), size.alias("__size"))
+        whole = F.when(F.coalesce("__size", F.lit(0)) <= MOST_BYTES, F.col("__all")).otherwise(F.raise_error(F.lit(f"the result of $lookup {name} without variables has more than {MOST_BYTES} bytes")))
+        joined = plan.df.join(F.broadcast(one.select(whole.alias("__docs"))), F.lit(True), "left")  # one row of checked size
         return _output(plan, name, joined, F.coalesce("__docs", _empty(dtype)))
-    df = plan.df.withColumn("__row", F.monotonically_increasing_id())
     values = {k: compile_expression(v, plan.scope) for k, v in let.items()}
-    local = df.select("__row", *[v.col.alias(f"__v_{k}") for k, v in values.items()], *([path(plan.schema, spec["localField"]).col.alias("__lk")] if "localField" in spec else []))
-    bound = {k: Value(F.col(f"__v_{k}"), v.type) for k, v in values.items()}
+    if "localField" in spec:
+        values["\0local"] = path(plan.schema, spec["localField"])
+    bound = {k: Value(F.col(f"__v_{k}"), v.type, k == "\0local") for k, v in values.items()}
     scope = Scope(document, bound)
     theta: list[Column] = []
     for one in conditions:
@@ -193,20 +211,37 @@ def _by_pipeline(plan: Plan, spec: dict, foreign: DataFrame, name: str) -> Plan:
             if not _uses(sides[0], names) and not _fields_used(sides[1]):
                 f, v = compile_expression(sides[0], scope), compile_expression(sides[1], scope)
                 if (cols := pair(v, f, False)) is not None and f.absent:
-                    keys.append(cols)
+                    keys.append((*cols, False))
                     continue
         theta.append(truthy(compile_expression(one, scope)))
-    on = [a == b for a, b in keys] + theta
     if "localField" in spec:
-        lk = Value(F.col("__lk"), path(plan.schema, spec["localField"]).type, absent=True)
-        a, b = _keys(lk, path(document, spec["foreignField"]))
-        on.append(a.eqNullSafe(b))
+        keys.append((*_keys(bound["\0local"], path(document, spec["foreignField"])), True))
     right = foreign.withColumn(RID, F.monotonically_increasing_id())
-    met = local.join(right, reduce(lambda x, y: x & y, on) if on else F.lit(True))
-    inner = Plan(met.select(*foreign.columns, RID, "__row", *[f"__v_{k}" for k in let]), tuple(foreign.columns), plan.collections, natural=False, rid=True, variables=bound, part=("__row", *[f"__v_{k}" for k in let]), strict=plan.strict)
-    inner = run_stages(inner.with_(variables=bound), stages)
+    locals_ = {f"__v_{k}": v.col for k, v in values.items()}
+    df = plan.df.withColumns(locals_)
+    if keys and not theta and not _uses(stages, names):
+        # the sub-pipeline runs for each foreign key
+        parts = [f"__p{i}" for i in range(len(keys))]
+        right = right.withColumns({p: b for p, (_, b, _) in zip(parts, keys, strict=True)})
+        for p, (_, _, nulls) in zip(parts, keys, strict=True):
+            right = right if nulls else right.where(F.col(p).isNotNull())
+        inner = Plan(right, tuple(foreign.columns), plan.collections, natural=False, rid=True, part=tuple(parts), strict=plan.strict)
+        back = [(a, p, nulls) for p, (a, _, nulls) in zip(parts, keys, strict=True)]
+        on = lambda: reduce(lambda x, y: x & y, [a.eqNullSafe(F.col(p)) if nulls else a == F.col(p) for a, p, nulls in back])
+    else:
+        # the sub-pipeline runs for each distinct tuple of variables
+        parts = [f"__d{i}" for i in range(len(values))]
+        named = df.withColumns({p: _groupable(v) for p, v in zip(parts, [Value(F.col(c), v.type, True) for c, v in zip(locals_, values.values(), strict=True)], strict=True)})
+        distinct = named.select(*parts, *locals_).dropDuplicates(parts) if parts else plan.df.limit(1).select(F.lit(0).alias("__d0"))
+        parts = parts or ["__d0"]
+        where = [a.eqNullSafe(b) if nulls else a == b for a, b, nulls in keys] + theta
+        met = distinct.join(right, reduce(lambda x, y: x & y, where) if where else F.lit(True))
+        inner = Plan(met, tuple(foreign.columns), plan.collections, natural=False, rid=True, variables=bound, part=(*parts, *locals_), strict=plan.strict)
+        df = named.withColumns({f"__l{i}": F.col(p) for i, p in enumerate(parts)}).drop(*parts)
+        on = lambda: _same([(f"__l{i}", p) for i, p in enumerate(parts)])
+    inner = run_stages(inner, stages)
     order = F.col(RID) if inner.rid else F.lit(0)
     dtype = inner.schema
-    gathered = inner.df.groupBy("__row").agg(_gathered(order, F.struct(*[quoted(n).alias(n) for n in inner.fields])).alias("__docs")).withColumnRenamed("__row", "__r")
-    joined = df.join(gathered, F.col("__row") == F.col("__r"), "left")
+    gathered = inner.df.groupBy(*parts).agg(_gathered(order, F.struct(*[quoted(n).alias(n) for n in inner.fields])).alias("__docs"))
+    joined = df.join(gathered, on(), "left")
     return _output(plan, name, joined, F.coalesce("__docs", _empty(dtype)))

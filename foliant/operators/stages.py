@@ -67,8 +67,10 @@ def sort_keys(plan: Plan, spec: Any) -> list[Column]:
     keys = []
     for name, direction in spec.items():
         v = compile_expression("$" + name, plan.scope)
-        if v.nothing or v.array or v.document:  # such values tie
-            keys.append(v.col.isNotNull() if not v.nothing else F.lit(0))
+        if v.nothing:  # no document has it: all tie
+            continue
+        if v.array or v.document:  # such values tie
+            keys.append(v.col.isNotNull())
             if isinstance(direction, (int, float)) and direction < 0:
                 keys[-1] = keys[-1].desc()
             continue
@@ -88,6 +90,8 @@ def sort(plan: Plan, spec: Any, rest: list) -> Plan:
     if plan.part:
         ranked = plan.df.withColumn(RID, F.row_number().over(Window.partitionBy(*map(quoted, plan.part)).orderBy(*keys)).cast("long"))
         return plan.with_(df=ranked, rid=True, natural=False)
+    if not keys:
+        return plan
     df = plan.df.orderBy(*keys)
     return plan.with_(df=df.drop(RID), rid=False, natural=True)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 from dataclasses import dataclass
 from typing import Any
 
@@ -60,6 +61,13 @@ def _nested(df_type: T.DataType, col: Column, steps: list[str], new: Column | No
     return made, T.StructType(fields)
 
 
+def _sum64(a: Column, b: Column) -> Column:
+    """The sum of two 64-bit integers, around the ends as in two's complement: no row fails the update."""
+    wide = a.cast("decimal(20,0)") + b.cast("decimal(20,0)")
+    turn = F.lit(Decimal(2**64))
+    return F.coalesce(F.try_add(a, b), F.when(a > 0, wide - turn).otherwise(wide + turn).cast("decimal(20,0)").cast("long"))
+
+
 def _incremented(name: str, old: Value, delta: Any) -> Value:
     by = constant(delta)
     if not by.number:
@@ -69,12 +77,12 @@ def _incremented(name: str, old: Value, delta: Any) -> Value:
     if not old.number:
         raise DocumentError(14, "TypeMismatch", f"cannot increment {name}, which is no number")
     if old.whole and by.whole:
-        return Value(F.coalesce(old.long(), F.lit(0).cast("long")) + by.long(), T.LongType())
+        return Value(_sum64(F.coalesce(old.long(), F.lit(0).cast("long")), by.long()), T.LongType())
     return Value(F.coalesce(old.double(), F.lit(0.0)) + by.double(), T.DoubleType())
 
 
-def apply_spec(df: DataFrame, spec: dict, hit: Column) -> DataFrame:
-    """df with the update made where hit is true."""
+def apply_spec(df: DataFrame, spec: dict, hit: Column, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """df with the update made where hit is true. hidden: columns that are no fields of the documents."""
     changed: dict[str, tuple[Column, T.DataType]] = {n: (quoted(n), df.schema[n].dataType) for n in df.columns}
 
     def put(name: str, new: Value | None) -> None:
@@ -101,7 +109,7 @@ def apply_spec(df: DataFrame, spec: dict, hit: Column) -> DataFrame:
             keep = F.when(hit & wrong, F.raise_error(F.lit("ImmutableField: a replacement keeps the _id (code 66)"))).otherwise(quoted("_id"))
             changed["_id"] = (keep.cast(df.schema["_id"].dataType), df.schema["_id"].dataType)
         for n in df.columns:
-            if n != "_id" and n not in spec:
+            if n != "_id" and n not in spec and n not in hidden:
                 put(n, None)
         for n, x in spec.items():
             if n != "_id":
@@ -143,7 +151,7 @@ def marked(df: DataFrame, query: dict, many: bool, order: str | None = None) ->
 def update(df: DataFrame, query: dict, spec: dict, many: bool = True, order: str | None = None) -> DataFrame:
     """All rows of df after the update."""
     rows = marked(df, query, many, order)
-    out = apply_spec(rows, spec, F.col(HIT))
+    out = apply_spec(rows, spec, F.col(HIT), (HIT, *([order] if order else [])))
     return out.drop(HIT)
 
 

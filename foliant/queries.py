@@ -6,6 +6,10 @@ the same rows.
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -52,6 +56,10 @@ def _filter(name: str, query: dict, where: str) -> None:
 
 
 _filter("f_eq", {"o_orderstatus": "F"}, "o_orderstatus = 'F'")
+_filter("f_all", {}, "true")
+_filter("f_eq_operator", {"o_custkey": {"$eq": 42}}, "o_custkey = 42")
+_filter("f_regex_literal", {"o_orderpriority": re.compile("urgent$", re.I)}, "regexp_matches(o_orderpriority, '(?i)urgent$')")
+_filter("f_regex_unknown_group", {"o_orderpriority": {"$regex": "(?P<a>U)"}}, "false")
 _filter("f_ne", {"o_orderstatus": {"$ne": "F"}}, "o_orderstatus <> 'F'")
 _filter("f_gt", {"o_totalprice": {"$gt": 250000}}, "o_totalprice > 250000")
 _filter("f_gte", {"o_orderkey": {"$gte": 5000}}, "o_orderkey >= 5000")
@@ -78,6 +86,10 @@ add("f_nested_path", "nation", [{"$set": {"a": {"b": {"c": "$n_regionkey"}}}}, {
 add("s_sort_limit", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 100}, _ORDER], "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 add("s_skip_limit", "orders", [{"$sort": {"o_orderkey": 1}}, {"$skip": 100}, {"$limit": 50}, _ORDER], "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 add("s_project_incl", "customer", [{"$project": {"_id": 0, "c_name": 1, "c_custkey": True}}], "SELECT c_name, c_custkey FROM customer")
+add("s_sort_missing", "orders", [{"$sort": {"nothing_here": -1, "o_orderkey": 1}}, {"$limit": 20}, _ORDER], "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
+add("s_sort_only_missing", "nation", [{"$sort": {"nothing_here": 1}}, keep("n_nationkey")], "SELECT n_nationkey FROM nation")
+add("s_project_no_id", "orders", [{"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}}}, {"$project": {"_id": 0}}], "SELECT CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY o_orderstatus")
+add("s_project_only_id", "orders", [{"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}}}, {"$project": {"_id": 1}}], "SELECT DISTINCT o_orderstatus AS _id FROM orders")
 add("s_project_excl", "customer", [{"$project": {"c_name": 0, "c_acctbal": False}}], "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
 add("s_project_computed", "lineitem", [keep("l_orderkey", net={"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]})], "SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
 add("s_set", "supplier", [{"$set": {"s_acctbal": {"$add": ["$s_acctbal", 1.5]}, "twice": {"$multiply": ["$s_suppkey", 2]}}}], "SELECT s_suppkey, s_name, s_nationkey, s_acctbal + 1.5 AS s_acctbal, s_suppkey * 2 AS twice FROM supplier")
@@ -123,6 +135,10 @@ add("l_pipeline_eq", "orders", [{"$lookup": _RICH}, keep("o_orderkey", n={"$size
 add("l_pipeline_theta", "region", [{"$lookup": {"from": "nation", "let": {"r": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$lte": ["$n_regionkey", "$$r"]}}}], "as": "ns"}}, keep("r_name", n={"$size": "$ns"})], "SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey <= r_regionkey) AS n FROM region")
 add("l_pipeline_group", "region", [{"$lookup": {"from": "nation", "let": {"r": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$n_regionkey", "$$r"]}}}, {"$group": {"_id": None, "top": {"$max": "$n_name"}}}], "as": "g"}}, keep("r_name", top={"$getField": {"field": "top", "input": {"$arrayElemAt": ["$g", 0]}}})], "SELECT r_name, (SELECT max(n_name) FROM nation WHERE n_regionkey = r_regionkey) AS top FROM region")
 add("l_pipeline_sort_limit", "region", [{"$lookup": {"from": "nation", "let": {"r": "$r_regionkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$n_regionkey", "$$r"]}}}, {"$sort": {"n_name": -1}}, {"$limit": 2}, {"$project": {"n_name": 1}}], "as": "g"}}, {"$unwind": "$g"}, keep("r_name", name="$g.n_name")], "SELECT r_name, n_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) AS rn FROM nation) JOIN region ON n_regionkey = r_regionkey WHERE rn <= 2")
+_STATUS = {"$group": {"_id": "$o_custkey", "n": {"$sum": 1}}}
+add("l_pipeline_after_group", "orders", [_STATUS, {"$lookup": {"from": "customer", "let": {"k": "$_id", "n": "$n"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$c_custkey", "$$k"]}, {"$gt": ["$c_nationkey", "$$n"]}]}}}, {"$project": {"c_name": 1, "more": {"$add": ["$c_nationkey", "$$n"]}}}], "as": "c"}}, {"$unwind": "$c"}, keep(k="$_id", name="$c.c_name", more="$c.more")], "SELECT o_custkey AS k, c_name AS name, c_nationkey + n AS more FROM (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey AND c_nationkey > n")
+add("l_pipeline_repeated_let", "nation", [{"$lookup": {"from": "region", "let": {"r": "$n_regionkey"}, "pipeline": [{"$match": {"$expr": {"$lt": ["$r_regionkey", "$$r"]}}}, {"$sort": {"r_name": 1}}, {"$limit": 1}], "as": "r"}}, keep("n_name", first={"$getField": {"field": "r_name", "input": {"$first": "$r"}}}, n={"$size": "$r"})], "SELECT n_name, (SELECT min(r_name) FROM region WHERE r_regionkey < n_regionkey) AS first, (SELECT least(1, count(*)) FROM region WHERE r_regionkey < n_regionkey) AS n FROM nation")
+add("l_array_after_sort", "nation", [{"$sort": {"n_name": 1}}, {"$set": {"ks": ["$n_regionkey", 0, "$n_nationkey"]}}, {"$lookup": {"from": "region", "localField": "ks", "foreignField": "r_regionkey", "as": "rs"}}, keep("n_name", n={"$size": "$rs"})], "SELECT n_name, (SELECT count(*) FROM region WHERE r_regionkey IN (n_regionkey, 0, n_nationkey)) AS n FROM nation")
 add("l_array_local", "nation", [{"$set": {"ks": ["$n_regionkey", 0]}}, {"$lookup": {"from": "region", "localField": "ks", "foreignField": "r_regionkey", "as": "rs"}}, keep("n_nationkey", n={"$size": "$rs"})], "SELECT n_nationkey, (SELECT count(*) FROM region WHERE r_regionkey = n_regionkey OR r_regionkey = 0) AS n FROM nation")
 add("l_uncorrelated", "region", [{"$lookup": {"from": "nation", "pipeline": [{"$match": {"n_nationkey": {"$lt": 7}}}], "as": "ns"}}, keep("r_name", n={"$size": "$ns"})], "SELECT r_name, (SELECT count(*) FROM nation WHERE n_nationkey < 7) AS n FROM region")
 add("l_null_keys", "nation", [{"$set": {"k": {"$cond": [{"$gt": ["$n_regionkey", 2]}, "$n_regionkey", None]}}}, {"$lookup": {"from": "region", "localField": "k", "foreignField": "r_regionkey", "as": "rs"}}, keep("n_nationkey", n={"$size": "$rs"})], "SELECT n_nationkey, CAST(CASE WHEN n_regionkey > 2 THEN 1 ELSE 0 END AS BIGINT) AS n FROM nation")
@@ -163,6 +179,12 @@ _o("ceil", {"$ceil": "$o_totalprice"}, "ceil(o_totalprice)")
 _o("floor", {"$floor": ["$o_totalprice"]}, "floor(o_totalprice)")
 _o("trunc", {"$trunc": {"$subtract": ["$o_totalprice", 250000]}}, "trunc(o_totalprice - 250000)")
 _o("round", {"$round": [{"$divide": ["$o_totalprice", 7]}, 1]}, "round(o_totalprice / 7 * 10) / 10")
+_n("log_base_one", {"$log": [{"$add": ["$n_regionkey", 0.5]}, 1]}, "CASE WHEN n_regionkey = 0 THEN CAST('-inf' AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END")
+_n("floor_large", {"$floor": {"$multiply": ["$n_nationkey", 1e20]}}, "n_nationkey * 1e20")
+_n("ceil_infinite", {"$ceil": {"$exp": {"$multiply": ["$n_nationkey", 1000]}}}, "CASE WHEN n_nationkey = 0 THEN 1.0 ELSE CAST('inf' AS DOUBLE) END")
+_n("strlen_wide", {"$strLenBytes": {"$concat": ["é€", "$n_name"]}}, "CAST(strlen('é€' || n_name) AS BIGINT)")
+_n("substr_wide", {"$substr": [{"$concat": ["é€", "$n_name"]}, 2, 3]}, "'€'")
+_n("arraytoobject_dynamic", {"$getField": {"field": "k", "input": {"$arrayToObject": [{"$concatArrays": [[["k", "$n_name"]], [["k", "last"]]]}]}}}, "'last'")
 _n("pow", {"$pow": ["$n_nationkey", 2]}, "pow(CAST(n_nationkey AS DOUBLE), 2)")
 _o("sqrt", {"$round": [{"$sqrt": "$o_totalprice"}, 6]}, "round(sqrt(o_totalprice) * 1e6) / 1e6")
 _n("exp", {"$round": [{"$exp": "$n_regionkey"}, 6]}, "round(exp(n_regionkey) * 1e6) / 1e6")
@@ -256,6 +278,112 @@ def _find(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["c_find"] = _find
 ORACLES["c_find"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 10"
 
+# every one makes a database of its own below the shared folder, in memory for c_memory
+
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def _database(spark: SparkSession, memory: bool = False) -> Any:
+    from foliant.sources import Database
+
+    if memory:
+        return Database(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/foliant-collections-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return Database(spark, path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _FOLDERS:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            pass
+
+
+def _stored(name: str, table: str, work: Callable[[Any, Any, SparkSession], DataFrame], sql: str, memory: bool = False) -> None:
+    """work gets the collection that holds the table, its database and the session."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = _database(spark, memory)
+        db.collection(table).insert_df(Tables(spark, sf_dir)(table))
+        return work(db.collection(table), db, spark)
+
+    QUERIES[name] = run
+    ORACLES[name] = sql
+
+
+def _figures(spark: SparkSession, **figures: int) -> DataFrame:
+    return spark.createDataFrame(sorted(figures.items()), "what string, n long")
+
+
+def _figures_sql(**figures: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS what, CAST(({v}) AS BIGINT) AS n" for k, v in figures.items())
+
+
+def _documents_of(c: Any, spark: SparkSession, **more: int) -> DataFrame:
+    return _figures(spark, rows=c.to_df().count(), **more)
+
+
+def _collections() -> None:
+    def insert(c: Any, db: Any, spark: SparkSession) -> DataFrame:
+        c.insert_many([{"n_nationkey": 100, "n_name": "ATLANTIS", "n_regionkey": 9}, {"n_nationkey": 101, "n_name": "LEMURIA", "n_regionkey": 9}])
+        c.insert_one({"n_nationkey": 102, "n_name": "MU", "n_regionkey": 2})
+        return c.to_df()
+
+    _stored("c_insert", "nation", insert, "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (100, 'ATLANTIS', 9), (101, 'LEMURIA', 9), (102, 'MU', 2)")
+    _stored("c_scan", "orders", lambda c, db, spark: c.find({}).to_df(), "SELECT * FROM orders")
+    _stored("c_find_one", "nation", lambda c, db, spark: spark.createDataFrame([c.find_one({"n_regionkey": {"$eq": 2}})], "n_nationkey int, n_name string, n_regionkey int"), "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey LIMIT 1")
+    _stored("c_aggregate", "orders", lambda c, db, spark: c.aggregate_df([{"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}}}]), "SELECT o_orderstatus AS _id, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1")
+    _stored("c_memory", "customer", lambda c, db, spark: (c.update_many({"c_nationkey": {"$lt": 3}}, {"$set": {"c_mktsegment": "near"}}), c.to_df())[1], "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_nationkey < 3 THEN 'near' ELSE c_mktsegment END AS c_mktsegment FROM customer", memory=True)
+
+    def update(c: Any, db: Any, spark: SparkSession) -> DataFrame:
+        many = c.update_many({"s_nationkey": {"$lt": 5}}, {"$set": {"s_name": "near"}, "$inc": {"s_acctbal": 1}})
+        same = c.update_many({"s_name": "near"}, {"$set": {"s_name": "near"}})
+        return _figures(spark, matched=many["matched"], modified=many["modified"], again_matched=same["matched"], again_modified=same["modified"], total=round(c.to_df().agg(F.sum("s_acctbal")).first()[0]))
+
+    near = "SELECT count(*) FROM supplier WHERE s_nationkey < 5"
+    _stored("c_update_many", "supplier", update, _figures_sql(matched=near, modified=near, again_matched=near, again_modified="0", total="SELECT round(sum(s_acctbal + CASE WHEN s_nationkey < 5 THEN 1 ELSE 0 END)) FROM supplier"))
+    _stored("c_update_one", "nation", lambda c, db, spark: (c.update_one({"n_regionkey": 1}, {"$set": {"n_name": "first"}}), c.to_df())[1], "SELECT n_nationkey, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1) THEN 'first' ELSE n_name END AS n_name, n_regionkey FROM nation")
+    _stored("c_upsert", "region", lambda c, db, spark: (c.update_one({"r_regionkey": 77}, {"$set": {"r_name": "NOWHERE", "_id": "x"}}, upsert=True), c.find({}).project({"_id": 0}).to_df())[1], "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 77, 'NOWHERE'")
+    _stored("c_delete", "customer", lambda c, db, spark: (lambda many, one: _documents_of(c, spark, many=many, one=one))(c.delete_many({"c_acctbal": {"$lt": 0}}), c.delete_one({"c_nationkey": 3})), _figures_sql(rows="SELECT count(*) - 1 FROM customer WHERE NOT c_acctbal < 0", many="SELECT count(*) FROM customer WHERE c_acctbal < 0", one="1"))
+
+    def indexes(c: Any, db: Any, spark: SparkSession) -> DataFrame:
+        from foliant.errors import DocumentError
+
+        made = [c.create_index("by_key", "n_nationkey", unique=True), c.create_index("by_region", ["n_regionkey", "n_name"], cluster=True), c.create_index("by_key", "n_name")]
+        try:
+            c.insert_one({"n_nationkey": 3, "n_name": "again", "n_regionkey": 0})
+            refused = 0
+        except DocumentError:
+            refused = 1
+        entries = {f"entries_{i['name']}": i["entries"] for i in c.list_indexes()}
+        dropped = [c.drop_index("by_key"), c.drop_index("by_key")]
+        return _figures(spark, made=sum(made), refused=refused, dropped=sum(dropped), left=len(c.list_indexes()), **entries)
+
+    n = "SELECT count(*) FROM nation"
+    _stored("c_indexes", "nation", indexes, _figures_sql(made="2", refused="1", dropped="1", left="2", entries__id_=n, entries_by_key=n, entries_by_region=n))
+    _stored("c_index_lookup", "orders", lambda c, db, spark: (c.create_index("by_customer", "o_custkey", cluster=True), c.find({"o_custkey": 42}).project({"_id": 0, "o_orderkey": 1, "o_custkey": 1}).to_df())[1], "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 42")
+
+    def cursor(c: Any, db: Any, spark: SparkSession) -> DataFrame:
+        key, batch = db.open_cursor("nation", c.find({}).batch_size(10))
+        rows, at = [(0, d["n_nationkey"]) for d in batch], 0
+        other, _ = db.open_cursor("nation", c.find({}).batch_size(1))
+        while key:
+            key, batch = db.get_more("nation", key)
+            at += 1
+            rows += [(at, d["n_nationkey"]) for d in batch]
+        rows += [(-1, k) for k in range(len(db.kill_cursors([other, 999])))]
+        return spark.createDataFrame(rows, "batch long, n_nationkey long")
+
+    _stored("c_cursor", "nation", cursor, "SELECT CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS BIGINT) AS batch, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation UNION ALL SELECT -1, 0")
+
+
+_collections()
+
 # ------------------------------------------------------------------ composites
 
 _NET = {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hmac
+import itertools
 import json
 import logging
 import threading
@@ -34,6 +35,7 @@ class Service:
         self.databases: dict[str, Database] = {}
         self.lock = threading.Lock()
         self.cursors: dict[str, tuple[str, str, int]] = {}
+        self._numbers = itertools.count(1)  # a cursor's number is never given again
         self.actions: dict[str, Callable[[str, str, dict], Any]] = {
             "insert": self.insert, "find": self.find, "update": self.update, "delete": self.delete, "aggregate": self.aggregate,
             "indexes/create": self.create_index, "indexes/drop": self.drop_index, "indexes/list": self.list_indexes,
@@ -51,7 +53,7 @@ class Service:
         key, batch = self.database(db).open_cursor(name, cursor.batch_size(body.get("batchSize", FIRST_BATCH)))
         public = "0"
         if key:
-            public = str(len(self.cursors) + 1)
+            public = str(next(self._numbers))
             self.cursors[public] = (db, name, key)
         return {"batch": batch, "cursorId": public}
 

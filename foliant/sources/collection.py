@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,9 @@ from foliant.operators import updates
 from foliant.operators.filters import compile_filter
 from foliant.operators.stages import aggregate
 from foliant.plans.values import constant, path, quoted, unify
-from foliant.sources.storage import Folder
+from foliant.sources.storage import Folder, Memory
 
-RID = "_rid"
+RID, _BEFORE = "_rid", "_before"
 
 
 def plain(x: Any) -> Any:
@@ -105,7 +105,7 @@ class Cursor:
 class Collection:
     def __init__(self, database: Database, name: str):
         self.database, self.name, self.spark = database, name, database.spark
-        self.folder = Folder(self.spark, f"{database.path}/{name.encode('utf-8').hex()}")
+        self.folder = database.folder(name)
 
     # ------------------------------------------------------------ reading
 
@@ -113,7 +113,7 @@ class Collection:
         schema = T.StructType.fromJson(state["schema"]) if state["schema"] else T.StructType([T.StructField(RID, T.LongType())])
         if not state["folders"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder.path}/{f}" for f in state["folders"]])
+        return self.folder.load(state["folders"], schema)
 
     def rows(self) -> DataFrame:
         """All documents of the current version with RID, which rises in insertion order."""
@@ -139,9 +139,15 @@ class Collection:
     # ------------------------------------------------------------ changes
 
     def _commit(self, df: DataFrame, state: dict, add: bool = False) -> None:
+        """Writes df as the new version, or beside the present one, and moves the pointer."""
         new = {**state, "version": state["version"] + 1}
         folder = f"v{new['version']}-{uuid.uuid4().hex[:8]}"  # a failed change leaves a folder that no pointer names
-        df.write.parquet(f"{self.folder.path}/{folder}")
+        for index in state["indexes"].values():
+            if index.get("cluster"):  # the layout that the index asked for
+                key = path(T.StructType(df.schema.fields), index["paths"][0]).col
+                df = df.repartitionByRange(key).sortWithinPartitions(key)
+                break
+        self.folder.save(df, folder)
         schema = df.schema if not add or not state["schema"] else _wider(T.StructType.fromJson(state["schema"]), df.schema)
         new["folders"] = [*(state["folders"] if add else []), folder]
         new["schema"] = schema.jsonValue()
@@ -160,21 +166,22 @@ class Collection:
         state = self.folder.read()
         first = state["next_rid"]
         # ids rise with the row's place and have gaps: no pass over the data numbers them
+        df, number = _counted(df, F.lit(True))
         rows = df.withColumn(RID, F.monotonically_increasing_id() + F.lit(first))
         if state["schema"]:
             wide = _wider(T.StructType.fromJson(state["schema"]), rows.schema)
             if any(f.name in wide.names and wide[f.name].dataType != f.dataType for f in T.StructType.fromJson(state["schema"]).fields):
                 old = self._read(state).select(*[quoted(f.name).cast(wide[f.name].dataType).alias(f.name) if f.name in state_names(state) else F.lit(None).cast(f.dataType).alias(f.name) for f in wide.fields])
                 rows = old.unionByName(rows.select(*[quoted(n).cast(wide[n].dataType).alias(n) for n in rows.columns]), allowMissingColumns=True)
-                return self._insert(rows, state, False)
+                self._insert(rows, state, False)
+                return number()
             rows = rows.select(*[quoted(n).cast(wide[n].dataType).alias(n) for n in rows.columns])
-        return self._insert(rows, state, True)
+        self._insert(rows, state, True)
+        return number()
 
-    def _insert(self, rows: DataFrame, state: dict, add: bool) -> int:
-        before = self._read(state).count()
+    def _insert(self, rows: DataFrame, state: dict, add: bool) -> None:
         last = state["version"] + 1
         self._commit(rows, {**state, "next_rid": (last + 1) << 42}, add)
-        return self._read(self.folder.read()).count() - before
 
     def insert_many(self, documents: list[dict]) -> int:
         return self.insert_df(documents_df(self.spark, documents)) if documents else 0
@@ -194,12 +201,14 @@ class Collection:
             document = updates.seed(query, spec)
             self.insert_one(document)
             return {"matched": 0, "modified": 0, "upserted": document["_id"]}
-        new = updates.apply_spec(marked, spec, F.col(updates.HIT)).drop(updates.HIT)
-        version = {**state}
-        self._commit(new, version)
-        old, now = rows.select(RID, F.to_json(F.struct(*[quoted(n) for n in rows.columns])).alias("x")), self.rows()
-        changed = old.join(now.select(F.col(RID).alias("r"), F.to_json(F.struct(*[quoted(n) for n in now.columns])).alias("y")), F.col(RID) == F.col("r")).where("x <> y").count()
-        return {"matched": matched, "modified": changed, "upserted": None}
+        # the row before is carried through the change and compared in the pass that writes the row after
+        text = lambda names: F.to_json(F.struct(*[quoted(n) for n in names]))
+        before = marked.withColumn(_BEFORE, F.when(F.col(updates.HIT), text(rows.columns)))
+        new = updates.apply_spec(before, spec, F.col(updates.HIT), hidden=(RID, updates.HIT, _BEFORE))
+        fields = [n for n in new.columns if n not in (updates.HIT, _BEFORE)]
+        new, changed = _counted(new, F.col(updates.HIT) & (F.col(_BEFORE) != text(fields)))
+        self._commit(new.select(*[quoted(n) for n in fields]), state)
+        return {"matched": matched, "modified": changed(), "upserted": None}
 
     def update_one(self, query: dict, spec: dict, upsert: bool = False) -> dict:
         return self._update(query, spec, False, upsert)
@@ -210,9 +219,9 @@ class Collection:
     def _delete(self, query: dict, many: bool) -> int:
         state = self.folder.read()
         rows = self._read(state)
-        before = rows.count()
-        self._commit(updates.delete(rows, query, many, RID), state)
-        return before - self.rows().count()
+        marked, gone = _counted(updates.marked(rows, query, many, RID), F.col(updates.HIT))
+        self._commit(marked.where(~F.col(updates.HIT)).drop(updates.HIT), state)
+        return gone()
 
     def delete_one(self, query: dict) -> int:
         return self._delete(query, False)
@@ -223,19 +232,19 @@ class Collection:
     # ------------------------------------------------------------ indexes
 
     def create_index(self, name: str, keys: str | list | dict, unique: bool = False, cluster: bool = False) -> bool:
-        """Whether the index is new. cluster: the rows are laid out by its first field, so that the scan prunes by it."""
+        """Whether the index is new. cluster: the rows are laid out by its first field, now and in later changes, so that the scan prunes by it."""
         paths = [keys] if isinstance(keys, str) else list(keys)
         if not paths:
             raise DocumentError(197, "InvalidIndexSpecificationOption", "an index has a field")
         state = self.folder.read()
         if name in {**{"_id_": 0}, **state["indexes"]}:
             return False
-        index = {"paths": paths, "unique": unique}
+        index = {"paths": paths, "unique": unique, "cluster": cluster}
         rows = self._read(state)
         self._check_unique(rows, {name: index} if unique else {})
         state = {**state, "indexes": {**state["indexes"], name: index}}
         if cluster and state["folders"]:
-            self._commit(rows.repartitionByRange(path(rows.schema, paths[0]).col).sortWithinPartitions(path(rows.schema, paths[0]).col), state)
+            self._commit(rows, state)
         else:
             self.folder.write({**state, "version": state["version"] + 1})
         return True
@@ -262,18 +271,28 @@ class Collection:
             out.append({"name": name, "field_path": index["paths"][0] if len(index["paths"]) == 1 else "", "field_paths": index["paths"], "entries": n})
         return out
 
+    def clean(self) -> int:
+        """Deletes the folders of older versions and of failed changes, when nobody reads them; the number of them."""
+        return self.folder.clean()
+
     def drop(self) -> None:
         self.folder.delete()
 
 
 class Database:
-    """Collections below a path; one that was never written reads as empty."""
+    """Collections below a path, or cached in memory without one; a collection that was never written reads as empty."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path.rstrip("/") if path else None
+        self._memory: dict[str, Memory] = {}
         self._cursors: dict[int, tuple[str, Cursor]] = {}
         self._next = itertools.count(1)
 
+    def folder(self, name: str) -> Folder | Memory:
+        if self.path is None:
+            return self._memory.setdefault(name, Memory(self.spark))
+        return Folder(self.spark, f"{self.path}/{name.encode('utf-8').hex()}")
+
     def collection(self, name: str) -> Collection:
         return Collection(self, name)
 
@@ -304,6 +323,12 @@ class Database:
         return [k for k in keys if self._cursors.pop(k, None) is not None]
 
 
+def _counted(df: DataFrame, hit: Column) -> tuple[DataFrame, Callable[[], int]]:
+    """df, and the number of its rows with hit, once df has been written."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.when(hit, F.lit(1))).alias("n")), lambda: int(seen.get.get("n") or 0)
+
+
 def state_names(state: dict) -> list[str]:
     return T.StructType.fromJson(state["schema"]).names
 

@@ -6,9 +6,9 @@ from foliant.errors import DocumentError
 from foliant.sources import Database
 
 
-@pytest.fixture
-def db(spark, tmp_path):
-    return Database(spark, str(tmp_path / "db"))
+@pytest.fixture(params=["folder", "memory"])
+def db(spark, tmp_path, request):
+    return Database(spark, str(tmp_path / "db") if request.param == "folder" else None)
 
 
 @pytest.fixture
@@ -94,5 +94,24 @@ def test_cursors(db, pets):
 
 
 def test_aggregate_reopened(spark, db, pets):
-    again = Database(spark, db.path).collection("pets")
+    again = (Database(spark, db.path) if db.path else db).collection("pets")
     assert again.aggregate([{"$group": {"_id": None, "legs": {"$sum": "$legs"}}}]).to_array() == [{"legs": 22.0}]
+
+
+def test_replacement_keeps_the_order(pets):
+    assert pets.update_one({"_id": 2}, {"_id": 2, "name": "new"}) == {"matched": 1, "modified": 1, "upserted": None}
+    assert [d["_id"] for d in pets.find()] == [1, 2, 3, 4, 5]
+
+
+def test_increments_at_the_ends(pets):
+    pets.insert_many([{"_id": 20, "legs": 2**63 - 1}, {"_id": 21, "legs": -(2**63)}])
+    assert pets.update_many({"_id": 20}, {"$inc": {"legs": 1}})["modified"] == 1
+    assert pets.update_many({"_id": 21}, {"$inc": {"legs": -1}})["modified"] == 1
+    assert pets.find_one({"_id": 20})["legs"] == -(2**63) and pets.find_one({"_id": 21})["legs"] == 2**63 - 1
+
+
+def test_clustered_layout_stays(pets):
+    assert pets.create_index("c", "legs", cluster=True)
+    pets.update_many({"legs": 2}, {"$set": {"name": "two"}})
+    assert sorted(d["_id"] for d in pets.find({"legs": 2})) == [3, 5] and [d["_id"] for d in pets.find({}).sort({"_id": 1})] == [1, 2, 3, 4, 5]
+    assert pets.clean() >= 1 and len(pets.find().to_array()) == 5
