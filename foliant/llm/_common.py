@@ -83,7 +83,8 @@ class Stage:
         self.where: dict[int, str] = {}
         self.counts: dict[int, int] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, random: bool = False) -> DataFrame:
+        """df, written and read back. random: its bytes are mostly hashes, of which no dictionary is made."""
         self.n += 1
         path = f"{self.path}/{self.n}"
         seen = Observation()
@@ -91,7 +92,7 @@ class Stage:
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("parquet.enable.dictionary", str(not random).lower()).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -220,7 +220,7 @@ def fuzzy_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, text (only its kept lines), n_lines, n_removed and the keep columns: one row for each row of docs."""
     stage = Stage(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType.simpleString()
-    rows = stage.put(_signed_lines(docs, doc_id, text, width, id_type))
+    rows = stage.put(_signed_lines(docs, doc_id, text, width, id_type), random=True)
     checked: list[DataFrame] = []
 
     def texts(ids: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         source, id_name, text_name, row = base, place[doc_id], place[text], base["_row"]
     else:
         source, id_name, text_name, row = docs, doc_id, text, F.monotonically_increasing_id()
-    rows = stage.put(signatures(source, text_name, id_name, width, row))
+    rows = stage.put(signatures(source, text_name, id_name, width, row), random=True)
     some = rows.where("n_shingles > 0")
     # the first row of each set, null ids last; its h finds the text again
     one = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "row", "h"))
@@ -85,7 +85,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # a node is named by half of its set's bits; of sets that share these, one is searched for links
     nodes = stage.put(groups.groupBy("g1").agg(F.min("g2").alias("g2")))
     named = some.select("g1", "g2", "bands", "signature", "row").join(groups.select("g1", "g2", "row"), ["g1", "g2", "row"]).join(nodes, ["g1", "g2"])
-    items = stage.put(named.select(F.col("g1").alias("id"), "bands", "signature"))
+    items = stage.put(named.select(F.col("g1").alias("id"), "bands", "signature"), random=True)
     where = groups.join(nodes, ["g1", "g2"]).select(F.col("g1").alias("node"), "id", "h")
 
     def texts(ids: DataFrame) -> DataFrame:
