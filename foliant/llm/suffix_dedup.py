@@ -239,12 +239,13 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, least: int) -> DataF
     grams = found.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("total > 1")
     # written first: a join with the aggregate itself would keep its partitioning, and a frequent gram in one task
     grams = stage.put(grams.select("key", (F.col("lo") != F.col("hi")).alias("several")))
-    again = stage.put(found.join(grams, "key"))
+    again = stage.put(found.join(stage.small(grams), "key"))
     stage.drop(found, grams)
     whole = again.where("not several")
     several = again.where("several").drop("several")
     contexts = stage.put(several.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "at", "l", "r")).alias("one")))
-    whole = whole.drop("several").unionByName(several.join(contexts.where("n > 1").select("key", "c"), ["key", "c"]))
+    often = stage.put(contexts.where("n > 1").select("key", "c"))
+    whole = whole.drop("several").unionByName(several.join(stage.small(often), ["key", "c"]))
     spans = whole.where(F.col("l") + F.col("r") >= least).select("doc_id", "h", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))
     # distinct contexts of grams that have one seen once
     needed = contexts.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("least = 1").select("key", "m")
