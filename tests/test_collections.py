@@ -12,106 +12,106 @@ def db(spark, tmp_path, request):
 
 
 @pytest.fixture
-def pets(db):
-    c = db.collection("pets")
-    c.insert_many([{"_id": i, "name": n, "legs": legs} for i, (n, legs) in enumerate([("lion", 4), ("crab", 8), ("emu", 2), ("ant", 6), ("ape", 2)], 1)])
+def boats(db):
+    c = db.collection("boats")
+    c.insert_many([{"_id": i, "name": n, "masts": masts} for i, (n, masts) in enumerate([("ketch", 4), ("yawl", 8), ("dhow", 2), ("brig", 6), ("punt", 2)], 1)])
     return c
 
 
-def test_insert_and_find(pets):
-    assert [d["_id"] for d in pets.find({"legs": {"$gt": 3}}).sort({"legs": -1})] == [2, 4, 1]
-    assert pets.find({"legs": 2}).sort({"legs": 1}).skip(1).limit(1).project({"name": 1, "_id": 0}).to_array() == [{"name": "ape"}]
-    assert pets.find_one({"name": "nobody"}) is None
+def test_insert_and_find(boats):
+    assert [d["_id"] for d in boats.find({"masts": {"$gt": 3}}).sort({"masts": -1})] == [2, 4, 1]
+    assert boats.find({"masts": 2}).sort({"masts": 1}).skip(1).limit(1).project({"name": 1, "_id": 0}).to_array() == [{"name": "punt"}]
+    assert boats.find_one({"name": "nobody"}) is None
 
 
 def test_missing_collection_reads_empty(db):
     assert db.collection("none").find().to_array() == []
 
 
-def test_new_fields_and_wider_types(pets):
-    pets.insert_one({"_id": 6, "name": "bat", "legs": 2.5, "wings": 2})
-    assert pets.find_one({"_id": 6}) == {"_id": 6, "name": "bat", "legs": 2.5, "wings": 2}
-    assert pets.find({"wings": {"$exists": True}}).to_array()[0]["_id"] == 6
+def test_new_fields_and_wider_types(boats):
+    boats.insert_one({"_id": 6, "name": "scow", "masts": 2.5, "oars": 2})
+    assert boats.find_one({"_id": 6}) == {"_id": 6, "name": "scow", "masts": 2.5, "oars": 2}
+    assert boats.find({"oars": {"$exists": True}}).to_array()[0]["_id"] == 6
 
 
-def test_updates(pets):
-    assert pets.update_many({"legs": 2}, {"$inc": {"legs": 1}, "$set": {"tag.x": "two"}}) == {"matched": 2, "modified": 2, "upserted": None}
-    assert pets.find_one({"_id": 3}) == {"_id": 3, "name": "emu", "legs": 3, "tag": {"x": "two"}}
-    assert pets.update_one({"legs": 3}, {"$set": {"name": "first"}})["modified"] == 1
-    assert [d["name"] for d in pets.find({"legs": 3})] == ["first", "ape"]
-    assert pets.update_many({"_id": 1}, {"$set": {"name": "lion"}}) == {"matched": 1, "modified": 0, "upserted": None}
-    assert pets.update_one({"_id": 1}, {"name": "new"})["matched"] == 1
-    assert pets.find_one({"_id": 1}) == {"_id": 1, "name": "new"}
-    pets.update_many({"_id": 2}, {"$unset": {"legs": ""}})
-    assert pets.find_one({"_id": 2}) == {"_id": 2, "name": "crab"}
+def test_updates(boats):
+    assert boats.update_many({"masts": 2}, {"$inc": {"masts": 1}, "$set": {"tag.x": "two"}}) == {"matched": 2, "modified": 2, "upserted": None}
+    assert boats.find_one({"_id": 3}) == {"_id": 3, "name": "dhow", "masts": 3, "tag": {"x": "two"}}
+    assert boats.update_one({"masts": 3}, {"$set": {"name": "first"}})["modified"] == 1
+    assert [d["name"] for d in boats.find({"masts": 3})] == ["first", "punt"]
+    assert boats.update_many({"_id": 1}, {"$set": {"name": "ketch"}}) == {"matched": 1, "modified": 0, "upserted": None}
+    assert boats.update_one({"_id": 1}, {"name": "new"})["matched"] == 1
+    assert boats.find_one({"_id": 1}) == {"_id": 1, "name": "new"}
+    boats.update_many({"_id": 2}, {"$unset": {"masts": ""}})
+    assert boats.find_one({"_id": 2}) == {"_id": 2, "name": "yawl"}
 
 
-def test_upsert(pets):
-    assert pets.update_one({"_id": 9, "legs": {"$gt": 1}}, {"$set": {"name": "yak"}}, upsert=True)["upserted"] == 9
-    assert pets.find_one({"_id": 9}) == {"_id": 9, "name": "yak"}
+def test_upsert(boats):
+    assert boats.update_one({"_id": 9, "masts": {"$gt": 1}}, {"$set": {"name": "proa"}}, upsert=True)["upserted"] == 9
+    assert boats.find_one({"_id": 9}) == {"_id": 9, "name": "proa"}
 
 
-def test_update_errors(pets):
+def test_update_errors(boats):
     with pytest.raises(DocumentError, match="14"):
-        pets.update_many({}, {"$inc": {"name": 1}})
+        boats.update_many({}, {"$inc": {"name": 1}})
     with pytest.raises(DocumentError, match="9"):
-        pets.update_many({}, {"$set": {"a": 1}, "b": 2})
+        boats.update_many({}, {"$set": {"a": 1}, "b": 2})
 
 
-def test_delete(pets):
-    assert pets.delete_one({"legs": 2}) == 1
-    assert [d["_id"] for d in pets.find()] == [1, 2, 4, 5]
-    assert pets.delete_many({"legs": {"$gte": 4}}) == 3
+def test_delete(boats):
+    assert boats.delete_one({"masts": 2}) == 1
+    assert [d["_id"] for d in boats.find()] == [1, 2, 4, 5]
+    assert boats.delete_many({"masts": {"$gte": 4}}) == 3
 
 
-def test_indexes(pets):
-    assert pets.create_index("by_name", {"name": 1}, unique=True) and not pets.create_index("by_name", "name")
+def test_indexes(boats):
+    assert boats.create_index("by_name", {"name": 1}, unique=True) and not boats.create_index("by_name", "name")
     with pytest.raises(DocumentError, match="11000"):
-        pets.insert_one({"_id": 7, "name": "lion"})
-    assert pets.find({"name": "lion"}).to_array() == [{"_id": 1, "name": "lion", "legs": 4}]
-    assert [(i["name"], i["entries"]) for i in pets.list_indexes()] == [("_id_", 5), ("by_name", 5)]
-    assert pets.drop_index("by_name") and not pets.drop_index("by_name")
+        boats.insert_one({"_id": 7, "name": "ketch"})
+    assert boats.find({"name": "ketch"}).to_array() == [{"_id": 1, "name": "ketch", "masts": 4}]
+    assert [(i["name"], i["entries"]) for i in boats.list_indexes()] == [("_id_", 5), ("by_name", 5)]
+    assert boats.drop_index("by_name") and not boats.drop_index("by_name")
     with pytest.raises(DocumentError, match="72"):
-        pets.drop_index("_id_")
+        boats.drop_index("_id_")
     with pytest.raises(DocumentError, match="197"):
-        pets.create_index("none", [])
-    assert pets.create_index("c", "legs", cluster=True)
-    assert pets.find().to_array()[0]["_id"] in (1, 3)
+        boats.create_index("none", [])
+    assert boats.create_index("c", "masts", cluster=True)
+    assert boats.find().to_array()[0]["_id"] in (1, 3)
 
 
-def test_cursors(db, pets):
-    cursor = pets.find().batch_size(2)
-    key, batch = db.open_cursor("pets", cursor)
+def test_cursors(db, boats):
+    cursor = boats.find().batch_size(2)
+    key, batch = db.open_cursor("boats", cursor)
     assert [d["_id"] for d in batch] == [1, 2]
-    pets.insert_one({"_id": 10, "name": "late"})
-    key2, batch = db.get_more("pets", key)
+    boats.insert_one({"_id": 10, "name": "late"})
+    key2, batch = db.get_more("boats", key)
     assert key2 == key and [d["_id"] for d in batch] == [3, 4]
-    assert db.get_more("pets", key) == (0, [{"_id": 5, "name": "ape", "legs": 2}])
+    assert db.get_more("boats", key) == (0, [{"_id": 5, "name": "punt", "masts": 2}])
     with pytest.raises(DocumentError, match="43"):
-        db.get_more("pets", key)
-    key, _ = db.open_cursor("pets", pets.find().batch_size(1))
+        db.get_more("boats", key)
+    key, _ = db.open_cursor("boats", boats.find().batch_size(1))
     assert db.kill_cursors([key, 99]) == [key]
 
 
-def test_aggregate_reopened(spark, db, pets):
-    again = (Database(spark, db.path) if db.path else db).collection("pets")
-    assert again.aggregate([{"$group": {"_id": None, "legs": {"$sum": "$legs"}}}]).to_array() == [{"legs": 22.0}]
+def test_aggregate_reopened(spark, db, boats):
+    again = (Database(spark, db.path) if db.path else db).collection("boats")
+    assert again.aggregate([{"$group": {"_id": None, "masts": {"$sum": "$masts"}}}]).to_array() == [{"masts": 22.0}]
 
 
-def test_replacement_keeps_the_order(pets):
-    assert pets.update_one({"_id": 2}, {"_id": 2, "name": "new"}) == {"matched": 1, "modified": 1, "upserted": None}
-    assert [d["_id"] for d in pets.find()] == [1, 2, 3, 4, 5]
+def test_replacement_keeps_the_order(boats):
+    assert boats.update_one({"_id": 2}, {"_id": 2, "name": "new"}) == {"matched": 1, "modified": 1, "upserted": None}
+    assert [d["_id"] for d in boats.find()] == [1, 2, 3, 4, 5]
 
 
-def test_increments_at_the_ends(pets):
-    pets.insert_many([{"_id": 20, "legs": 2**63 - 1}, {"_id": 21, "legs": -(2**63)}])
-    assert pets.update_many({"_id": 20}, {"$inc": {"legs": 1}})["modified"] == 1
-    assert pets.update_many({"_id": 21}, {"$inc": {"legs": -1}})["modified"] == 1
-    assert pets.find_one({"_id": 20})["legs"] == -(2**63) and pets.find_one({"_id": 21})["legs"] == 2**63 - 1
+def test_increments_at_the_ends(boats):
+    boats.insert_many([{"_id": 20, "masts": 2**63 - 1}, {"_id": 21, "masts": -(2**63)}])
+    assert boats.update_many({"_id": 20}, {"$inc": {"masts": 1}})["modified"] == 1
+    assert boats.update_many({"_id": 21}, {"$inc": {"masts": -1}})["modified"] == 1
+    assert boats.find_one({"_id": 20})["masts"] == -(2**63) and boats.find_one({"_id": 21})["masts"] == 2**63 - 1
 
 
-def test_clustered_layout_stays(pets):
-    assert pets.create_index("c", "legs", cluster=True)
-    pets.update_many({"legs": 2}, {"$set": {"name": "two"}})
-    assert sorted(d["_id"] for d in pets.find({"legs": 2})) == [3, 5] and [d["_id"] for d in pets.find({}).sort({"_id": 1})] == [1, 2, 3, 4, 5]
-    assert pets.clean() >= 1 and len(pets.find().to_array()) == 5
+def test_clustered_layout_stays(boats):
+    assert boats.create_index("c", "masts", cluster=True)
+    boats.update_many({"masts": 2}, {"$set": {"name": "two"}})
+    assert sorted(d["_id"] for d in boats.find({"masts": 2})) == [3, 5] and [d["_id"] for d in boats.find({}).sort({"_id": 1})] == [1, 2, 3, 4, 5]
+    assert boats.clean() >= 1 and len(boats.find().to_array()) == 5

@@ -50,6 +50,23 @@ def test_lookup_rewrites(spark):
         assert "collect_list" not in plan(name)
 
 
+def test_lookups_read_once(spark):
+    """A sub-pipeline with equalities only is grouped by the foreign key: the local side is read once, and no row ids join back."""
+    for name, local in (("l_pipeline_eq", "o_orderkey"), ("l_pipeline_group", "r_name"), ("l_pipeline_sort_limit", "r_name")):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Relation" in line and local in line for line in plan.splitlines()) == 1, name
+        assert plan.count("monotonically_increasing_id") <= 2, name
+
+
+def test_large_result_without_variables(spark, monkeypatch):
+    """The result that every document would hold is refused above its limit."""
+    from foliant.operators import lookup
+
+    monkeypatch.setattr(lookup, "MOST_BYTES", 100)
+    with pytest.raises(Exception, match="more than 100 bytes"):
+        QUERIES["l_uncorrelated"](spark, SF).collect()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
