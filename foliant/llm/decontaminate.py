@@ -38,19 +38,21 @@ CHUNK = 4096
 
 def _shingled(df: DataFrame, text: str, width: int) -> DataFrame:
     """df with w (words) and n_positions (shingles with repeats), without texts that have none."""
-    return df.withColumn("w", words(lower_ascii(F.coalesce(text, F.lit(""))))).withColumn("n_positions", F.greatest(F.size("w") - (width - 1), F.lit(0))).where("n_positions > 0")
+    # out of a generator: conditions on w below it would split the text again for each mention
+    made = df.withColumn("w", F.explode(F.array(words(lower_ascii(F.coalesce(text, F.lit("")))))))
+    return made.withColumn("n_positions", F.size("w") - (width - 1)).where("n_positions > 0")
 
 
 def _exploded(df: DataFrame, keys: list[str], width: int, strings: bool) -> DataFrame:
     """keys, h: a row for each shingle position; with strings also shingle. df: w, n_positions."""
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.col("n_positions") - 1) / CHUNK).cast("int")), lambda c: F.slice("w", c * CHUNK + 1, F.lit(CHUNK + width - 1)))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.col("n_positions") - 1) / CHUNK).cast("int")), lambda c: F.slice("w", c * CHUNK + 1, F.lit(CHUNK + width - 1)))
+    chunks = F.when(F.col("n_positions") <= CHUNK, F.array("w")).otherwise(cut)
     pieces = df.select(*keys, F.explode(chunks).alias("w"))
-    at = lambda i: F.xxhash64(*[F.element_at("w", i + k) for k in range(width)])
-    every = F.sequence(F.lit(1), F.size("w") - (width - 1))
-    if not strings:
-        return pieces.select(*keys, F.explode(F.transform(every, at)).alias("h"))
-    both = F.transform(every, lambda i: F.struct(at(i).alias("h"), F.array_join(F.slice("w", i, F.lit(width)), " ").alias("shingle")))
-    return pieces.select(*keys, F.explode(both).alias("x")).select(*keys, "x.h", "x.shingle")
+    n = F.size("w") - (width - 1)
+    zipped = F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(width)])
+    rows = pieces.select(*keys, F.explode(zipped).alias("z"))
+    own = [F.col(f"z.w{k}") for k in range(width)]
+    return rows.select(*keys, F.xxhash64(*own).alias("h"), *([F.concat_ws(" ", *own).alias("shingle")] if strings else []))
 
 
 def signatures(pieces: DataFrame, percent: int) -> DataFrame:
