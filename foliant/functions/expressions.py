@@ -8,6 +8,7 @@ try_ forms. No expression runs Python on the executors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -356,7 +357,8 @@ def _split(spec: Any, c: Compiler) -> Value:
     if sep.constant:
         if sep.literal == "":
             return computed(F.lit(None).cast(strings), strings)
-        literal = "\\Q" + str(sep.literal).replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        # one character, plain or escaped, is split without a pattern machine
+        literal = re.sub(r"([\\.\[\](){}^$|?*+&~#-])", r"\\\1", str(sep.literal))
         return computed(F.split(s.col, literal, -1), strings)
     return computed(F.when(sep.col != "", F.split(s.col, F.concat(F.lit("\\Q"), F.replace(sep.col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))), strings)
 

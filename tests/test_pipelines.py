@@ -236,3 +236,11 @@ def test_dynamic(spark):
     assert order == [3, 4, 1, 2, 5]
     groups = aggregate(df, [{"$group": {"_id": "$v", "n": {"$sum": 1}}}]).collect()
     assert len(groups) == 7 or len(groups) == 6
+
+
+def test_split_by_any_separator(spark):
+    """Separators are plain strings, whatever they mean in patterns."""
+    for sep in (".", " ", "\\", "|", "a.b", "$", "--", "\n", "é", "\\E", "#", "[x]", "^"):
+        text = f"p{sep}q{sep}{sep}r"
+        df = documents_df(spark, [{"s": text}])
+        assert run(df, [{"$project": {"_id": 0, "x": {"$split": ["$s", {"$literal": sep}]}}}]) == [{"x": text.split(sep)}]
