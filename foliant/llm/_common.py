@@ -61,7 +61,13 @@ def _clean() -> None:
             pass
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffles are needed no longer then and go at once, not when the driver collects
+#: garbage; and batches for Python hold few rows, as texts are long.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 24),
+}
 
 
 BROADCAST_IDS = 1_000_000  # rows of a number or two: some 16 MB
@@ -72,8 +78,8 @@ class Stage:
 
     put() writes a DataFrame as Parquet in the shared folder and reads it
     back, and knows the rows written; drop() deletes tables that no returned
-    DataFrame needs any more. All others go with clear() or when the
-    driver's Python ends.
+    DataFrame needs any more, clear() all. What a returned DataFrame reads
+    stays until clear(spark) or the end of the driver's Python.
     """
 
     def __init__(self, spark: SparkSession):
@@ -88,21 +94,22 @@ class Stage:
         self.n += 1
         path = f"{self.path}/{self.n}"
         seen = Observation()
-        # what is written needs its shuffles no longer: they go now, not when the driver collects garbage
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in WHILE_WRITING}
+        for k, v in WHILE_WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("parquet.enable.dictionary", str(not random).lower()).parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.where[id(out)], self.counts[id(out)] = path, int(seen.get.get("n") or 0)
         out._stage = self  # keeps id(out) valid as long as the frame lives
         return out
 
     def rows(self, df: DataFrame) -> int:
-        """The rows of a table that put() gave."""
-        return self.counts[id(df)]
+        """The rows of a table that put() gave, of any stage."""
+        return df._stage.counts[id(df)]
 
     def small(self, df: DataFrame) -> DataFrame:
         """A table that put() gave, to be broadcast if it has BROADCAST_IDS rows at most; for tables of a few numbers a row."""
@@ -113,6 +120,10 @@ class Stage:
             if path := self.where.pop(id(df), None):
                 _delete(self.spark, path)
 
+    def clear(self) -> None:
+        self.where.clear()
+        _delete(self.spark, self.path)
+
 
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that the operators of this session have written: for long sessions, when no result is read any more."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from foliant.llm._common import Stage
+from foliant.llm._common import BROADCAST_IDS, Stage
 
 
 def _moved(stage: Stage, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,9 @@ def connected(stage: Stage, links: DataFrame) -> DataFrame:
 
     edges, last = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while last[0]:
-        large = stage.put(large_star(stage, edges))
+        large = large_star(stage, edges)
+        if stage.rows(edges) > BROADCAST_IDS:  # it is read twice, and costs a shuffle then
+            large = stage.put(large)
         new, now = written(small_star(stage, large))
         stage.drop(edges, large)
         edges = new

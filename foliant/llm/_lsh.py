@@ -97,6 +97,10 @@ class Sets:
 def similar_pairs(column: pa.Array, left: np.ndarray, right: np.ndarray, sets: Sets, percent: int) -> np.ndarray:
     """Whether 100 * intersection >= percent * union of texts left[k] and right[k] of a column; never by hashes alone."""
     good = np.ones(len(left), dtype=bool)
+    named = column.dictionary_encode()  # a text that is in many pairs is looked at once
+    column, number = named.dictionary, np.asarray(named.indices.fill_null(-1))
+    left, right = number[left], number[right]
+    good &= (left >= 0) & (right >= 0)
     sure = sets.certain(column) if sets.certain else None
     for make in (sets.exact,) if sure is None else (sets.hashed, sets.exact):
         at = np.flatnonzero(good if make is sets.hashed or sure is None else good & ~(sure[left] & sure[right]))
@@ -120,7 +124,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text_a", 1 << 18):
+            for batch in slices(whole, "text_a", 1 << 19):
                 n = np.arange(batch.num_rows)
                 keep = pa.array(similar_pairs(pa.concat_arrays([batch.column(2), batch.column(3)]), n, n + batch.num_rows, sets, percent))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
@@ -252,7 +256,7 @@ def across(members: DataFrame, sets: Sets, percent: int, least_share: float) ->
                     if own is None:
                         own = (sets.hashed if sets.certain else sets.exact)(text.slice(at, to - at))
                     shared, union = jaccard_parts(own[x], own[y])
-                    if 100 * shared >= percent * union and (not sets.certain or similar_pairs(text.slice(at, to - at), np.array([x]), np.array([y]), sets, percent)[0]):
+                    if 100 * shared >= percent * union and (not sets.certain or similar_pairs(text.take(pa.array([at + x, at + y])), np.array([0]), np.array([1]), sets, percent)[0]):
                         found.append((ids[at + x], ids[at + y]))
                         comps[comps == comps[y]] = comps[x]
         both = np.array(found, dtype=np.int64).reshape(-1, 2)
@@ -317,13 +321,20 @@ def dealt(stage: Stage, groups: DataFrame) -> DataFrame:
     return rows.select("key", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), (own > F.col("other")).cast("int").alias("side"), "banded", "id", "component")
 
 
+def _kept(outer: Stage, stage: Stage, df: DataFrame) -> DataFrame:
+    out = outer.put(df)
+    stage.clear()
+    return out
+
+
 def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, least_share: float, n_keys: int) -> DataFrame:
-    """node, component of every item that is linked with another.
+    """node, component of every item that is linked with another, as a table of the stage.
 
     items: id (long, one row an id or several alike), bands (array<long>),
     signature (binary); n_keys: about as many band keys. texts: gets a table of ids and gives
     a table of id, text of those, once an id.
     """
+    outer, stage = stage, Stage(items.sparkSession)  # its tables go when the result is written
     parts = key_parts(n_keys)
     shared = stage.put(repeated_keys(items, parts))
     keyed = items.select("id", F.explode("bands").alias("key")).withColumn("code", key_code(F.col("key"), parts))
@@ -343,13 +354,13 @@ def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFram
     ends = stage.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.join(stage.small(wide), "key", "left_semi").select("id")).distinct())
     bodies = texts(ends)
     links = stage.put(verify(pairs, bodies, sets, percent))
-    stage.drop(shared, ids)
+    stage.drop(shared, ids, marks)
     found = connected(stage, links)
     placed = members.join(stage.small(wide), "key", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # of three members the stars are all pairs
     opened = stage.put(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n"))
     if not stage.rows(opened):
-        return found
+        return _kept(outer, stage, found)
     rest = stage.put(placed.select("key", "id", "component").join(stage.small(opened), "key"))
     groups = rest.where(F.col("n") <= MOST).select("key", "id", "component", F.lit(True).alias("banded"))
     hot = stage.put(rest.where(F.col("n") > MOST).select("id", "component").distinct())
@@ -360,6 +371,6 @@ def similar_components(stage: Stage, items: DataFrame, texts: Callable[[DataFram
     marked = items.select("id", "signature", "bands").join(stage.small(chosen), "id", "left_semi").dropDuplicates(["id"])
     marked = stage.put(marked.join(bodies, "id"))
     more = stage.put(across(dealt(stage, groups).join(marked, "id").withColumn("band", F.when(F.col("banded"), F.array_position("bands", F.col("key")).cast("int") - 1).otherwise(-1)), sets, percent, least_share))
-    if not stage.rows(more):
-        return found
-    return connected(stage, found.where("node <> component").toDF("a", "b").union(more))
+    if stage.rows(more):
+        found = connected(stage, found.where("node <> component").toDF("a", "b").union(more))
+    return _kept(outer, stage, found)

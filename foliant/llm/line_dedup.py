@@ -48,8 +48,19 @@ def _packed(points: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit values of all character shingles, repeats included, the line of each, and whether a line's are free of hashing.
+def unhashed(column: pa.Array, width: int) -> np.ndarray:
+    """Whether the values of a line's shingles are no hashes: all code points below 256, width of them at least, 8 at most in a shingle."""
+    data, offsets = string_buffer(column)
+    if width > NARROW or not len(data):
+        return np.zeros(len(column), dtype=bool)
+    wide, points = np.zeros(len(data) + 1, dtype=np.int32), np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(data >= 0xC4, out=wide[1:], dtype=np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=points[1:], dtype=np.int32)
+    return (wide[offsets[1:]] == wide[offsets[:-1]]) & (points[offsets[1:]] - points[offsets[:-1]] >= width)
+
+
+def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit values of all character shingles, repeats included, and the line of each.
 
     A shingle of 8 code points below 256 at most is its own value (mixed one
     to one); others are hashed. Every non-empty line has a shingle at least.
@@ -63,10 +74,9 @@ def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray,
     sizes = np.diff(offsets)
     n = max(len(points) - width + 1, 0)
     wide = points > 0xFF if width <= NARROW else np.ones(len(points), dtype=bool)
-    some_wide = bool(wide.any())
     value = _packed(points & 0xFF, width) if n and width <= NARROW else np.zeros(n, dtype=_U)
-    bad = np.zeros(len(points) + 1, dtype=np.int64)
-    if some_wide:
+    if wide.any():
+        bad = np.zeros(len(points) + 1, dtype=np.int64)
         np.cumsum(wide, out=bad[1:])
         at = np.flatnonzero(bad[width:] > bad[:n])
         hashed = np.zeros(len(at), dtype=_U)
@@ -85,8 +95,7 @@ def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray,
         owner, value = np.concatenate((owner, short)), np.concatenate((value, own))
         order = np.argsort(owner, kind="stable")
         owner, value = owner[order], value[order]
-    certain = (bad[offsets[1:]] == bad[offsets[:-1]]) & (sizes >= width)
-    return value, owner, certain
+    return value, owner
 
 
 def hash_points(points: np.ndarray) -> int:
@@ -94,7 +103,7 @@ def hash_points(points: np.ndarray) -> int:
 
 
 def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
-    hashes, owner, _ = line_shingles(column, width)
+    hashes, owner = line_shingles(column, width)
     cut = np.searchsorted(owner, np.arange(len(column) + 1))
     out = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -118,12 +127,16 @@ def exact_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 ID_SEED, CHECK_SEED = 42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_hash, line_no, line, id, check: the lines with a word."""
-    # hash and split first: beside the generator they would be made for every line
-    whole = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.split(docs[text], "\n", -1).alias("lines"))
-    rows = whole.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
+def _lines(docs: DataFrame, text: str) -> DataFrame:
+    """line, id of all lines, also those without a word."""
+    # split first: beside the generator it would be done for every line
+    whole = docs.select(F.split(docs[text], "\n", -1).alias("lines"))
+    return whole.select(F.explode("lines").alias("line")).withColumn("id", F.xxhash64("line"))
+
+
+def line_check(line: str) -> Column:
+    """The check of a line in column line, as the workers make it with CHECK_SEED."""
+    return F.xxhash64(F.lit(1), line)
 
 
 def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -170,7 +183,7 @@ def _signed_lines(docs: DataFrame, doc_id: str, text: str, width: int, id_type:
                 fresh[new] = True
                 parts, owners, at = [], [], 0
                 for sub in slices(pa.RecordBatch.from_arrays([lines.take(pa.array(new))], ["line"]), "line", PIECE_BYTES // 4):
-                    hashes, owner, _ = line_shingles(sub.column(0), width)
+                    hashes, owner = line_shingles(sub.column(0), width)
                     parts.append(hashes)
                     owners.append(owner + at)
                     at += sub.num_rows
@@ -187,33 +200,15 @@ def _signed_lines(docs: DataFrame, doc_id: str, text: str, width: int, id_type:
     return whole.mapInArrow(run, f"doc_id {id_type}, text_hash long, line_no int, id long, check long, bands array<long>, signature binary")
 
 
-def without_lines(column: pa.Array, numbers: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The texts without the lines of these numbers (a list or null each), the lines they had and those removed."""
-    data, offsets = string_buffer(column)
-    n = len(column)
-    breaks = np.flatnonzero(data == 10)
-    row_of_break = np.searchsorted(offsets, breaks, side="right") - 1
-    counts = np.bincount(row_of_break, minlength=n) + 1
-    first = np.concatenate(([0], np.cumsum(counts)))
-    line_of_break = np.arange(len(breaks)) + row_of_break  # every text before has one line more than breaks
-    starts, ends = np.empty(first[-1], dtype=np.int64), np.empty(first[-1], dtype=np.int64)
-    starts[first[:-1]], ends[first[1:] - 1] = offsets[:-1], offsets[1:]
-    starts[line_of_break + 1], ends[line_of_break] = breaks + 1, breaks
-    stays = np.ones(first[-1], dtype=bool)
-    row = np.repeat(np.arange(n), np.asarray(numbers.value_lengths().fill_null(0)))
-    stays[first[row] + np.asarray(numbers.flatten()).astype(np.int64)] = False
-    gone = np.zeros(len(data) + 1, dtype=np.int32)
-    np.add.at(gone, starts[~stays], 1)
-    np.add.at(gone, ends[~stays], -1)
-    left = np.cumsum(gone[:-1]) == 0
-    # a line feed stays after a line that stays and is not its text's last to stay
-    last = np.maximum.reduceat(np.where(stays, np.arange(len(stays)), -1), first[:-1]) if n else np.zeros(0, dtype=np.int64)
-    left[breaks] = stays[line_of_break] & (line_of_break < last[row_of_break])
-    bounds = np.concatenate(([0], np.cumsum(left)))[offsets]
-    missing = np.asarray(column.is_null())
-    valid = pa.array(~missing).buffers()[1] if missing.any() else None
-    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[left]), valid)
-    return texts.cast(pa.string()), np.where(missing, 0, counts), np.where(missing, 0, counts - np.add.reduceat(stays, first[:-1], dtype=np.int64) if n else 0)
+def without_lines(df: DataFrame) -> DataFrame:
+    """df (text, gone: numbers of lines or null, and others) with text without those lines, n_lines and n_removed."""
+    # the lines come out of a generator, so that they are not split anew for each one kept
+    parted = df.withColumn("_lines", F.explode(F.array(F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
+    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    counts = {"n_lines": F.coalesce(breaks + 1, F.lit(0)).cast("long"), "n_removed": F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long")}
+    return parted.withColumns({**counts, "text": text}).drop("_lines", "gone")
 
 
 def fuzzy_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), width: int = 8, percent: int = 80) -> DataFrame:
@@ -224,12 +219,12 @@ def fuzzy_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     checked: list[DataFrame] = []
 
     def texts(ids: DataFrame) -> DataFrame:
-        own = _lines(docs, doc_id, text).select("id", "check", F.col("line").alias("text")).join(stage.small(ids), "id", "left_semi")
+        own = _lines(docs, text).join(stage.small(ids), "id", "left_semi").select("id", line_check("line").alias("check"), F.col("line").alias("text"))
         checked.append(stage.put(own.dropDuplicates(["id"])))
         return checked[0]
 
     items = rows.where(F.size("bands") > 0).select("id", "bands", "signature")
-    sets = Sets(lambda column: sets_of(column, width), lambda column: exact_sets(column, width), lambda column: line_shingles(column, width)[2])
+    sets = Sets(lambda column: sets_of(column, width), lambda column: exact_sets(column, width), lambda column: unhashed(column, width))
     found = similar_components(stage, items, texts, sets, percent, LEAST_SHARE, stage.rows(rows) * BANDS)
     # links hold for the line that was compared; one of the same id but another check is only like itself
     found = stage.put(found.withColumnRenamed("node", "id").join(checked[0].select("id", F.col("check").alias("of")), "id"))
@@ -246,13 +241,5 @@ def fuzzy_line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"), *[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)])
     joined = own.join(gone, own["doc_id"].eqNullSafe(gone["s_id"]) & (own["h"] == gone["s_hash"]), "left").select("doc_id", "text", "gone", *[f"k_{i}" for i in range(len(keep))])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", PIECE_BYTES):
-                left, counts, removed = without_lines(piece.column(1), piece.column(2))
-                yield pa.RecordBatch.from_arrays([piece.column(0), left, pa.array(counts, type=pa.int64()), pa.array(removed, type=pa.int64()), *(piece.column(3 + i) for i in range(len(keep)))], ["doc_id", "text", "n_lines", "n_removed", *[f"k_{i}" for i in range(len(keep))]])
-
-    kept_types = "".join(f", k_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = joined.mapInArrow(cut, f"doc_id {id_type}, text string, n_lines long, n_removed long{kept_types}")
     results = ["doc_id", "text", "n_lines", "n_removed"]
-    return out.select(*results, *[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))])
+    return without_lines(joined).select(*results, *[F.col(f"k_{i}").alias(name) for i, (_, name) in enumerate(carried(keep, results))])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import MULTIPLIERS, Stage, carried, exact_shingles, mix, shingles, signed, slices, string_buffer, word_hashes
+from foliant.llm._common import BROADCAST_IDS, MULTIPLIERS, Stage, carried, exact_shingles, mix, shingles, signed, slices, string_buffer, word_hashes
 from foliant.llm._lsh import Sets, band_keys, minima, similar_components
 
 PIECE_BYTES = 1 << 20
@@ -67,16 +67,8 @@ def signatures(docs: DataFrame, text: str, doc_id: str, width: int, row: Column)
     return rows.mapInArrow(run, f"doc_id {id_type}, row long, h long, n_shingles long, g1 long, g2 long, bands array<long>, signature binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, keep: tuple[str, ...] = (), single: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, with single first, and the keep columns: one row for each row of docs."""
-    stage = Stage(docs.sparkSession)
-    if keep:  # the carried columns are joined back by a row number that is written once
-        names = [f"c{i}" for i in range(len(docs.columns))]
-        place = {c: n for n, c in zip(names, docs.columns, strict=True)}
-        base = stage.put(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
-        source, id_name, text_name, row = base, place[doc_id], place[text], base["_row"]
-    else:
-        source, id_name, text_name, row = docs, doc_id, text, F.monotonically_increasing_id()
+def _judged(stage: Stage, source: DataFrame, id_name: str, text_name: str, width: int, percent: int, row: Column) -> DataFrame:
+    """doc_id, row, h, n_shingles, component_id, first, kept of every row of source."""
     rows = stage.put(signatures(source, text_name, id_name, width, row), random=True)
     some = rows.where("n_shingles > 0")
     # the first row of each set, null ids last; its h finds the text again
@@ -103,12 +95,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     moved = stage.put(linked.join(stage.small(least), "component").select("g1", "g2", "least", "first_row"))
     settled = groups.select("g1", "g2", "id", "row").join(stage.small(moved), ["g1", "g2"], "left")
     settled = stage.put(settled.select("g1", "g2", F.when(F.col("first_row").isNull(), F.col("id")).otherwise(F.col("least")).alias("component"), F.coalesce("first_row", "row").alias("first_row")))
-    judged = rows.select("doc_id", "row", "n_shingles", "g1", "g2").join(settled, ["g1", "g2"], "left")
+    judged = rows.select("doc_id", "row", "h", "n_shingles", "g1", "g2").join(settled, ["g1", "g2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    judged = judged.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("row") == F.col("first_row"), F.col("n_shingles") == 0).alias("first"))
-    judged = judged.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    judged = judged.select("doc_id", "row", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("row") == F.col("first_row"), F.col("n_shingles") == 0).alias("first"))
+    return judged.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, keep: tuple[str, ...] = (), single: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, with single first, and the keep columns: one row for each row of docs."""
+    stage = Stage(docs.sparkSession)
+    if keep:  # the carried columns are joined back by a row number that is written once
+        names = [f"c{i}" for i in range(len(docs.columns))]
+        place = {c: n for n, c in zip(names, docs.columns, strict=True)}
+        base = stage.put(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
+        judged = _judged(stage, base, place[doc_id], place[text], width, percent, base["_row"])
+    else:
+        judged = _judged(stage, docs, doc_id, text, width, percent, F.monotonically_increasing_id())
     results = ["doc_id", "n_shingles", "component_id", "kept", *(["first"] if single else [])]
     if not keep:
         return judged.select(*results)
     joined = judged.join(base, F.col("row") == F.col("_row"))
     return joined.select(*results, *[F.col(place[c]).alias(name) for c, name in carried(keep, results)])
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one of each component: the first of near_duplicates with single. Rows without words stay.
+
+    Only what leaves is joined to docs: texts (id, hash) whose rows all go,
+    and texts of which one of several equal rows stays.
+    """
+    stage = Stage(docs.sparkSession)
+    judged = _judged(stage, docs, doc_id, text, width, percent, F.monotonically_increasing_id())
+    marks = judged.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("long")).alias("stay"))
+    outer = Stage(docs.sparkSession)
+    marks = outer.put(marks.where("stay < n"))
+    stage.clear()
+    numbers = docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+    def chosen(df: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        of = F.broadcast(of) if numbers and outer.rows(marks) <= BROADCAST_IDS else of
+        return df.join(of, df[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(df[text]) == F.col("_h")), how)
+
+    gone, several = marks.where("stay = 0"), marks.where("stay > 0")
+    left = chosen(docs, gone, "left_anti")
+    if several.limit(1).count() == 0:
+        return left
+    one = chosen(left, several, "left_semi").withColumn("_h", F.xxhash64(left[text])).dropDuplicates([doc_id, "_h"]).drop("_h")
+    return chosen(left, several, "left_anti").unionByName(one)

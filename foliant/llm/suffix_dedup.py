@@ -233,7 +233,7 @@ def _merged_spans(rows: DataFrame, least: int, id_type: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     """doc_id, h, start, end: byte spans, overlapping, whose union are the bytes to remove."""
-    stage = Stage(docs.sparkSession)
+    outer, stage = Stage(docs.sparkSession), Stage(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType.simpleString()
     found = stage.put(_anchor_rows(docs, doc_id, text, least))
     grams = found.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("total > 1")
@@ -269,6 +269,8 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, least: int) -> DataF
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
+    out = outer.put(out)
+    stage.clear()
     return out
 
 

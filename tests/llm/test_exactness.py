@@ -110,27 +110,27 @@ def test_recall_of_planted_pairs(spark):
 
 def test_line_ids(spark):
     """The id and check of a line are the same in the workers as in the plan."""
-    from foliant.llm.line_dedup import _lines, _signed_lines
+    from foliant.llm.line_dedup import _lines, _signed_lines, line_check
 
     df = spark.createDataFrame([(1, "some line\nzé ü\n\nsome line", "en", "s", 0)], SCHEMA)
-    a = {(r["line_no"], r["id"], r["check"]) for r in _lines(df, "doc_id", "text").collect()}
-    b = {(r["line_no"], r["id"], r["check"]) for r in _signed_lines(df, "doc_id", "text", 8, "bigint").collect()}
-    assert a == b and len(a) == 3
+    a = {(r["id"], r["check"]) for r in _lines(df, "text").where("line != ''").select("id", line_check("line").alias("check")).collect()}
+    b = {(r["id"], r["check"]) for r in _signed_lines(df, "doc_id", "text", 8, "bigint").collect()}
+    assert a == b and len(a) == 2
 
 
-def test_without_lines():
-    import pyarrow as pa
-
+def test_without_lines(spark):
     from foliant.llm.line_dedup import without_lines
 
     rng = random.Random(3)
     texts = [None, "", "\n", "a", "a\n", "\na", *("\n".join(rng.choice(["", "x", "éé", "long line"]) for _ in range(rng.randrange(1, 8))) for _ in range(60))]
-    numbers = [None if rng.random() < 0.2 or t is None else sorted(rng.sample(range(t.count("\n") + 1), rng.randrange(0, t.count("\n") + 2))) for t in texts]
-    got, counts, removed = without_lines(pa.array(texts), pa.array(numbers, type=pa.list_(pa.int32())))
-    for t, drop, new, n, k in zip(texts, numbers, got.to_pylist(), counts, removed, strict=True):
+    numbers = [None if rng.random() < 0.2 or t is None else rng.sample(range(t.count("\n") + 1), rng.randrange(1, t.count("\n") + 2)) for t in texts]
+    got = without_lines(spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, numbers, strict=True))], "i int, text string, gone array<int>"))
+    assert got.columns == ["i", "text", "n_lines", "n_removed"]
+    for r in got.collect():
+        t, drop = texts[r["i"]], numbers[r["i"]]
         lines = [] if t is None else t.split("\n")
-        left = [x for i, x in enumerate(lines) if i not in (drop or [])]
-        assert new == (None if t is None else "\n".join(left)) and (n, k) == (len(lines), len(lines) - len(left))
+        left = [x for k, x in enumerate(lines) if k not in (drop or [])]
+        assert (r["text"], r["n_lines"], r["n_removed"]) == (None if t is None else "\n".join(left), len(lines), len(lines) - len(left))
 
 
 def test_line_recall_and_hot_template(spark, monkeypatch):
@@ -153,3 +153,32 @@ def test_carried_names():
     from foliant.llm._common import carried
 
     assert carried(["a", "Kept", "kept_in", "x"], ["doc_id", "kept"]) == [("a", "a"), ("Kept", "Kept_in"), ("kept_in", "kept_in_in"), ("x", "x")]
+
+
+@pytest.mark.parametrize("width", [1, 3, 8, 9])
+def test_line_shingles(width):
+    """Values are equal exactly where the strings are; narrow lines need no exact sets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from foliant.llm._lsh import Sets, similar_pairs
+    from foliant.llm.line_dedup import exact_sets, line_shingles, sets_of, unhashed
+
+    rng = random.Random(width)
+    lines = [None, "", "a", "é", "€", "a€", "x" * width, "x" * (width + 1), *("".join(rng.choice("aabé" if k % 2 else "ab€😀") for _ in range(rng.randrange(0, 40))) for k in range(80))]
+    (values, owner), certain = line_shingles(pa.array(lines), width), unhashed(pa.array(lines), width)
+    named = {}
+    for i, line in enumerate(lines):
+        line = line or ""
+        want = {line[k : k + width] for k in range(len(line) - width + 1)} or ({line} if line else set())
+        got = values[owner == i].tolist()
+        assert len(set(got)) == len(want) and len(got) == max(len(line) - width + 1, int(bool(line)))
+        for k in range(len(line) - width + 1):
+            assert named.setdefault(line[k : k + width], got[k]) == got[k]
+        assert certain[i] == (width <= 8 and len(line) >= width and all(ord(c) < 256 for c in line))
+    assert len(set(named.values())) == len(named)
+    sets = Sets(lambda c: sets_of(c, width), lambda c: exact_sets(c, width), lambda c: unhashed(c, width))
+    left, right = np.triu_indices(len(lines), 1)
+    own = [({x[k : k + width] for k in range(len(x) - width + 1)} or ({x} if x else set())) for x in (t or "" for t in lines)]
+    want = [bool(own[a]) and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]) for a, b in zip(left, right, strict=True)]
+    assert similar_pairs(pa.array(lines), left, right, sets, 80).tolist() == want
