@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foliant.llm._common import SPACES, Stage, carried, table
 from foliant.llm.decontaminate import containment_matches
 from foliant.llm.line_dedup import fuzzy_line_dedup
-from foliant.llm.minhash_dedup import near_duplicates
+from foliant.llm.minhash_dedup import without_near_duplicates
 from foliant.llm.mixing import mix
 from foliant.llm.quality import quality_rules
 
@@ -62,7 +62,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows equal in id and text, too, one stays.
     """
     own, names = _renamed(docs)
-    return _named(near_duplicates(own, names["doc_id"], names["text"], width=5, keep=tuple(own.columns), single=True).where("first"), names)
+    return _named(without_near_duplicates(own, names["doc_id"], names["text"], width=5), names)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
