@@ -334,7 +334,7 @@ def _collections() -> None:
         c.insert_one({"n_nationkey": 102, "n_name": "MU", "n_regionkey": 2})
         return c.to_df()
 
-    _stored("c_insert", "nation", insert, "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (100, 'ATLANTIS', 9), (101, 'LEMURIA', 9), (102, 'MU', 2)")
+    _stored("c_insert", "nation", insert, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (100, 'ATLANTIS', 9), (101, 'LEMURIA', 9), (102, 'MU', 2))")
     _stored("c_scan", "orders", lambda c, db, spark: c.find({}).to_df(), "SELECT * FROM orders")
     _stored("c_find_one", "nation", lambda c, db, spark: spark.createDataFrame([c.find_one({"n_regionkey": {"$eq": 2}})], "n_nationkey int, n_name string, n_regionkey int"), "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey LIMIT 1")
     _stored("c_aggregate", "orders", lambda c, db, spark: c.aggregate_df([{"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}}}]), "SELECT o_orderstatus AS _id, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1")
@@ -348,7 +348,7 @@ def _collections() -> None:
     near = "SELECT count(*) FROM supplier WHERE s_nationkey < 5"
     _stored("c_update_many", "supplier", update, _figures_sql(matched=near, modified=near, again_matched=near, again_modified="0", total="SELECT round(sum(s_acctbal + CASE WHEN s_nationkey < 5 THEN 1 ELSE 0 END)) FROM supplier"))
     _stored("c_update_one", "nation", lambda c, db, spark: (c.update_one({"n_regionkey": 1}, {"$set": {"n_name": "first"}}), c.to_df())[1], "SELECT n_nationkey, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1) THEN 'first' ELSE n_name END AS n_name, n_regionkey FROM nation")
-    _stored("c_upsert", "region", lambda c, db, spark: (c.update_one({"r_regionkey": 77}, {"$set": {"r_name": "NOWHERE", "_id": "x"}}, upsert=True), c.find({}).project({"_id": 0}).to_df())[1], "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 77, 'NOWHERE'")
+    _stored("c_upsert", "region", lambda c, db, spark: (c.update_one({"r_regionkey": 77}, {"$set": {"r_name": "NOWHERE", "_id": "x"}}, upsert=True), c.find({}).project({"_id": 0}).to_df())[1], "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region UNION ALL SELECT 77, 'NOWHERE'")
     _stored("c_delete", "customer", lambda c, db, spark: (lambda many, one: _documents_of(c, spark, many=many, one=one))(c.delete_many({"c_acctbal": {"$lt": 0}}), c.delete_one({"c_nationkey": 3})), _figures_sql(rows="SELECT count(*) - 1 FROM customer WHERE NOT c_acctbal < 0", many="SELECT count(*) FROM customer WHERE c_acctbal < 0", one="1"))
 
     def indexes(c: Any, db: Any, spark: SparkSession) -> DataFrame:
