@@ -174,7 +174,7 @@ def repeated_keys(items: DataFrame, parts: int) -> DataFrame:
             part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
             ids = np.repeat(mix(np.asarray(batch.column(0)).view(_U)), np.asarray(lists.value_lengths()))
             short = keys & ~high
-            order = np.lexsort((short, part))
+            order = np.argsort((part << 40).view(_U) | short)  # which of equal keys comes first does not matter
             part, short, ids = part[order], short[order], ids[order] & high
             new = np.concatenate(([True], (short[1:] != short[:-1]) | (part[1:] != part[:-1]))) if len(keys) else np.zeros(0, dtype=bool)
             if not new.all():  # of a key that repeats: its first id and one that differs from it
@@ -189,7 +189,7 @@ def repeated_keys(items: DataFrame, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(part: int, blobs: list[bytes]) -> pa.RecordBatch:
             packed = np.frombuffer(b"".join(blobs), dtype=_U)
-            packed = packed[np.argsort(packed & ~high, kind="stable")]
+            packed = packed[np.argsort(packed & ~high)]
             keys, ids = packed & ~high, packed & high
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
@@ -241,16 +241,16 @@ def across(members: DataFrame, sets: Sets, percent: int, least_share: float) ->
             own = None
             left = np.flatnonzero(side[at:to] == 0)
             right = left if same_block else np.flatnonzero(side[at:to] == 1)
-            for x in left:
-                other = right[right > x] if same_block else right
-                other = other[comps[other] != comps[x]]
-                if not len(other):
-                    continue
-                share = (signature[at + other] == signature[at + x]).mean(axis=1)
-                other = other[share >= least_share]
+            for some in (left[k : k + 64] for k in range(0, len(left), 64)):
+                equal = (signature[at + some][:, None, :] == signature[at + right][None, :, :]).sum(axis=2, dtype=np.int16)
+                meet = (equal >= least_share * signature.shape[1]) & (comps[some][:, None] != comps[right][None, :])
+                if same_block:
+                    meet &= right[None, :] > some[:, None]
+                x, y = (i[j] for i, j in zip((some, right), np.nonzero(meet), strict=True))
                 if band[at] >= 0:
-                    other = other[(bands[at + other] == bands[at + x]).argmax(axis=1) == band[at]]
-                for y in other:
+                    first = (bands[at + x] == bands[at + y]).argmax(axis=1) == band[at]
+                    x, y = x[first], y[first]
+                for x, y in zip(x.tolist(), y.tolist(), strict=True):
                     if comps[y] == comps[x]:
                         continue
                     if own is None:
